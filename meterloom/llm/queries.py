@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.llm import common
+from meterloom.llm.packing import pack
+from meterloom.llm.secrets import find_secrets
 from meterloom.llm.sharding import shard
 
 
@@ -17,5 +19,29 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def span_list(spans):
+    """kind:start:end of each span, joined by commas."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts and digests of the fixed patterns, and all spans."""
+    found = find_secrets(common.table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = span_list(F.filter("spans", lambda s: s["kind"] != "random"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens: one row for each piece."""
+    import public_tokenizers
+
+    pieces = pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op6_secrets": op6_secrets, "op7_packing": op7_packing}
 ORACLE_SQL: dict[str, str] = {}
