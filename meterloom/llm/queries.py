@@ -9,6 +9,7 @@ from meterloom.llm import common
 from meterloom.llm.packing import pack
 from meterloom.llm.secrets import find_secrets
 from meterloom.llm.sharding import shard
+from meterloom.llm.simhash import near_duplicates
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_secrets": op6_secrets, "op7_packing": op7_packing}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints differ in at most four bits."""
+    found = near_duplicates(common.table(spark, sf_dir, "documents"), radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
