@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.llm import common
+from meterloom.llm.bitsliced import top_k
 from meterloom.llm.packing import pack
+from meterloom.llm.quality import outliers
 from meterloom.llm.secrets import find_secrets
 from meterloom.llm.sharding import shard
 from meterloom.llm.simhash import near_duplicates
+from meterloom.llm.toxicity import fit_toxicity, toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +53,47 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by inner product of every vector whose id is divisible by 50."""
+    return top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, from the labels of four fifths of them."""
+    docs, held_out = common.table(spark, sf_dir, "documents"), common.id_remainder("doc_id", 5) == 0
+    labels = common.table(spark, sf_dir, "labels").where(~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity(F.col("text"), fit_toxicity(docs, labels), spark).alias("s"))
+    return scored.select("doc_id", "held_out", "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"), "s.evidence")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents, with outliers by language and source."""
+    return outliers(common.table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op5_topk": op5_topk,
+    "op6_secrets": op6_secrets,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
+    "op10_simhash": op10_simhash,
+}
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL}

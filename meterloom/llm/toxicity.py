@@ -13,6 +13,7 @@ has a fixed bound and is broadcast. Document frequencies are counted over all do
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,11 +35,21 @@ PUNCTUATION = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + byte
 SCORED = "struct<score double, evidence array<struct<id long, label int, cosine double>>>"
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     """Words in lower case (A-Z), without ASCII punctuation."""
     return (text or b"").lower().translate(PUNCTUATION).split()
 
 
+def terms_of(words: Counter) -> Counter:
+    """The words, and the beginnings of longer ones (marked by a hyphen, which no word has), with their counts."""
+    terms = Counter(words)
+    for w, n in words.items():
+        if len(w) > 5:
+            terms[w[:4] + b"-"] += n
+            terms[w[:5] + b"-"] += n
+    return terms
+
+
 @dataclass
 class BlockMaxIndex:
     """Unit vectors of examples in blocks. places/weights hold the postings of each term, by example; start[t, b] is where
@@ -94,11 +105,9 @@ class ToxicityModel:
     none: float
     steps: np.ndarray
 
-    def vector(self, terms: list[bytes]) -> dict[int, float]:
-        """The unit TF-IDF vector of a text, empty if no term is known."""
-        known = self.vocabulary
-        counts = Counter(filter(lambda x: x is not None, map(known.get, terms)))
-        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
+    def vector(self, counts: Counter) -> dict[int, float]:
+        """The unit TF-IDF vector of a text's terms, empty if none is known."""
+        raw = {self.vocabulary[w]: (1 + math.log(n)) * float(self.idf[self.vocabulary[w]]) for w, n in counts.items() if w in self.vocabulary}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: raw[t] / norm for t in sorted(raw)} if norm else {}
 
@@ -116,8 +125,8 @@ class ToxicityModel:
         evidence = [(int(self.index.ids[p]), int(self.index.toxic[p] > self.index.clean[p]), float(c)) for p, c in zip(at, cosines, strict=True)]
         return (yes + PRIOR_WEIGHT * self.base) / (yes + no + PRIOR_WEIGHT), evidence
 
-    def score(self, terms: list[bytes]) -> tuple[float, list[tuple]]:
-        vector = self.vector(terms)
+    def score(self, counts: Counter) -> tuple[float, list[tuple]]:
+        vector = self.vector(counts)
         if not vector:
             return self.none, []
         vote, evidence = self.vote(vector)
@@ -152,12 +161,15 @@ def _sample(labels: DataFrame, max_examples: int) -> DataFrame:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of texts as Latin-1 strings of their bytes, and the least hash of five words, which near copies mostly share."""
     for batch in portions(batches, "text"):
-        counted = [Counter(terms_of(t)) for t in text_bytes(batch.column("text"))]
-        words = pa.array([[w.decode("utf-8", "replace") for w in c] for c in counted], pa.list_(pa.string()))
+        split = [words_of(t) for t in text_bytes(batch.column("text"))]
+        counted = [terms_of(Counter(w)) for w in split]
+        least = [min(zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) for w in split]
+        words = pa.array([[w.decode("latin-1") for w in c] for c in counted], pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("label"), batch.column("weight"), words, pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))],
-            ["id", "label", "weight", "words", "counts"],
+            [batch.column("id"), batch.column("label"), batch.column("weight"), words, pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), pa.array(least, pa.int64())],
+            ["id", "label", "weight", "words", "counts", "near"],
         )
 
 
@@ -167,7 +179,7 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn from the rows of labels (id, 0 or 1) whose documents are in docs; a null label or id is no label.
 
-    A repeated label row counts once; of examples with the same text one is kept. Without examples of both labels the
+    A repeated label row counts once; of examples with the same text, and of most near copies, one is kept. Without examples of both labels the
     model returns the share of toxic labels for every text (0 if there are none).
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
@@ -176,8 +188,10 @@ def fit_toxicity(
     marked = stored(marked.join(source.select("id").distinct(), "id", "left_semi"))
     sample = _sample(marked, max_examples)
     # at most two times max_examples rows, hence the broadcast
-    picked = source.join(F.broadcast(sample), "id").withColumn("same", F.xxhash64("text"))
-    examples = stored(picked.mapInArrow(_terms, "id long, label int, weight double, words array<string>, counts array<int>"))
+    picked = source.join(F.broadcast(sample), "id")
+    examples = stored(picked.mapInArrow(_terms, "id long, label int, weight double, words array<string>, counts array<int>, near long"))
+    order = Window.partitionBy("near", "label").orderBy("id", "counts")
+    examples = stored(examples.withColumn("k", F.row_number().over(order)).where(F.col("k") == 1).drop("k"))
     shares = {r[0]: (r[1], r[2]) for r in examples.groupBy("label").agg(F.sum("weight"), F.count("*")).collect()}
     toxic, clean = shares.get(1, (0.0, 0)), shares.get(0, (0.0, 0))
     base = toxic[0] / max(toxic[0] + clean[0], 1e-9)
@@ -188,19 +202,19 @@ def fit_toxicity(
     chi2 = (p + q) * F.pow(a * (q - b) - b * (p - a), 2) / ((a + b) * (p + q - a - b + 1e-9) * p * q)
     chosen = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.col("n") >= 3))
     words = [r[0] for r in chosen.orderBy(F.desc("chi2"), "word").limit(max_terms).select("word").collect()]
-    vocabulary = {w.encode(): i for i, w in enumerate(sorted(words))}
+    vocabulary = {w.encode("latin-1"): i for i, w in enumerate(sorted(words))}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, total = shared.value.keys(), Counter(), 0
         for batch in batches:
             for text in text_bytes(batch.column("text")):
-                n.update(known & set(terms_of(text)))
+                n.update(known & terms_of(Counter(words_of(text))).keys())
                 total += 1
         n[b""] = total
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    df = {r[0].encode(): r[1] for r in source.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}
+    df = {r[0].encode("latin-1"): r[1] for r in source.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}
     total = df.get(b"", 0)
     idf = np.array([math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary])
     model = ToxicityModel(vocabulary, idf, None, base, base, np.full(BINS, base))
@@ -210,14 +224,14 @@ def fit_toxicity(
 def _index(examples: DataFrame, model: ToxicityModel) -> ToxicityModel:
     """Add the index over the examples, and the calibration from their votes without themselves."""
     sc = examples.sparkSession.sparkContext
-    known = F.array(*[F.lit(w.decode()) for w in model.vocabulary]) if model.vocabulary else F.array().cast("array<string>")
+    known = F.array(*[F.lit(w.decode("latin-1")) for w in model.vocabulary]) if model.vocabulary else F.array().cast("array<string>")
     kept = F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(known, x["words"]))
     # at most two times max_examples rows, with known terms only
     rows = examples.select("id", "label", "weight", kept.alias("terms")).orderBy("id").collect()
     same: dict[tuple, list] = {}
     own, none = [], [0.0, 0.0]
     for r in rows:
-        vector = model.vector([x["words"].encode() for x in r.terms for _ in range(x["counts"])])
+        vector = model.vector(Counter({x["words"].encode("latin-1"): x["counts"] for x in r.terms}))
         if not vector:
             none[r.label] += r.weight
             continue
@@ -260,12 +274,13 @@ def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
         for part in texts:
             out = []
             for t in part:
-                terms = [w for w in terms_of(t.encode() if t else b"") if w in shared.value.vocabulary]
-                key = tuple(sorted(terms))
+                counts = terms_of(Counter(words_of(t.encode() if t else b"")))
+                found = shared.value.vocabulary.keys() & counts.keys()
+                key = tuple(sorted((w, counts[w]) for w in found))
                 if key not in kept:
                     if len(kept) > 20_000:
                         kept.clear()
-                    score, evidence = shared.value.score(terms)
+                    score, evidence = shared.value.score(Counter(dict(key)))
                     kept[key] = (min(1.0, max(0.0, score)), [{"id": i, "label": y, "cosine": c} for i, y, c in evidence])
                 out.append(kept[key])
             yield pd.DataFrame(out, columns=["score", "evidence"])
