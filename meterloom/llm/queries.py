@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from meterloom.llm import common
 from meterloom.llm.bitsliced import top_k
+from meterloom.llm.language import fit_language, language
+from meterloom.llm.mixing_lm import score_texts
 from meterloom.llm.packing import pack
 from meterloom.llm.quality import outliers
 from meterloom.llm.secrets import find_secrets
@@ -58,6 +60,19 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from four fifths of them."""
+    docs, held_out = common.table(spark, sf_dir, "documents"), common.id_remainder("doc_id", 5) == 0
+    model = fit_language(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language(F.col("text"), model, spark).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learnt from six sevenths of them."""
+    return score_texts(common.table(spark, sf_dir, "documents"), common.id_remainder("doc_id", 7) != 2)
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
@@ -89,6 +104,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language": op2_language,
+    "op3_mixing_lm": op3_mixing_lm,
     "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,

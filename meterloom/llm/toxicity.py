@@ -35,21 +35,11 @@ PUNCTUATION = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + byte
 SCORED = "struct<score double, evidence array<struct<id long, label int, cosine double>>>"
 
 
-def words_of(text: bytes | None) -> list[bytes]:
+def terms_of(text: bytes | None) -> list[bytes]:
     """Words in lower case (A-Z), without ASCII punctuation."""
     return (text or b"").lower().translate(PUNCTUATION).split()
 
 
-def terms_of(words: Counter) -> Counter:
-    """The words, and the beginnings of longer ones (marked by a hyphen, which no word has), with their counts."""
-    terms = Counter(words)
-    for w, n in words.items():
-        if len(w) > 5:
-            terms[w[:4] + b"-"] += n
-            terms[w[:5] + b"-"] += n
-    return terms
-
-
 @dataclass
 class BlockMaxIndex:
     """Unit vectors of examples in blocks. places/weights hold the postings of each term, by example; start[t, b] is where
@@ -163,8 +153,8 @@ def _sample(labels: DataFrame, max_examples: int) -> DataFrame:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms of texts as Latin-1 strings of their bytes, and the least hash of five words, which near copies mostly share."""
     for batch in portions(batches, "text"):
-        split = [words_of(t) for t in text_bytes(batch.column("text"))]
-        counted = [terms_of(Counter(w)) for w in split]
+        split = [terms_of(t) for t in text_bytes(batch.column("text"))]
+        counted = [Counter(w) for w in split]
         least = [min(zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) for w in split]
         words = pa.array([[w.decode("latin-1") for w in c] for c in counted], pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays(
@@ -209,7 +199,7 @@ def fit_toxicity(
         known, n, total = shared.value.keys(), Counter(), 0
         for batch in batches:
             for text in text_bytes(batch.column("text")):
-                n.update(known & terms_of(Counter(words_of(text))).keys())
+                n.update(known & set(terms_of(text)))
                 total += 1
         n[b""] = total
         yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
@@ -274,13 +264,13 @@ def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
         for part in texts:
             out = []
             for t in part:
-                counts = terms_of(Counter(words_of(t.encode() if t else b"")))
-                found = shared.value.vocabulary.keys() & counts.keys()
-                key = tuple(sorted((w, counts[w]) for w in found))
+                known = shared.value.vocabulary
+                counts = Counter(w for w in terms_of(t.encode() if t else b"") if w in known)
+                key = tuple(sorted(counts.items()))
                 if key not in kept:
                     if len(kept) > 20_000:
                         kept.clear()
-                    score, evidence = shared.value.score(Counter(dict(key)))
+                    score, evidence = shared.value.score(counts)
                     kept[key] = (min(1.0, max(0.0, score)), [{"id": i, "label": y, "cosine": c} for i, y, c in evidence])
                 out.append(kept[key])
             yield pd.DataFrame(out, columns=["score", "evidence"])
