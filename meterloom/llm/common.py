@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -61,3 +63,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as this Python worker, so that later tasks find what earlier ones built."""
+    home = sys.modules.setdefault("_meterloom_process_cache", types.ModuleType("_meterloom_process_cache"))
+    return home.__dict__.setdefault(f"cache {name}", {})

@@ -9,6 +9,7 @@ from meterloom.llm import common
 from meterloom.llm.bitsliced import top_k
 from meterloom.llm.language import fit_language, language
 from meterloom.llm.mixing_lm import score_texts
+from meterloom.llm.mixture import Mixture
 from meterloom.llm.packing import pack
 from meterloom.llm.quality import outliers
 from meterloom.llm.secrets import find_secrets
@@ -73,6 +74,13 @@ def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(common.table(spark, sf_dir, "documents"), common.id_remainder("doc_id", 7) != 2)
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 0.98 of the entropy of equal weights, with at most four passes over a source."""
+    mixed = Mixture(common.table(spark, sf_dir, "documents"), entropy=0.98, most_passes=4.0)
+    weights = mixed.weights.select("source", "weight", "passes")
+    return mixed.listed().join(weights, "source").select(F.col("id").alias("doc_id"), F.expr("nullif(source, '~')").substr(2, 1 << 30).alias("source"), "tokens", "epoch", "position", "weight", "passes")
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
@@ -106,6 +114,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
     "op3_mixing_lm": op3_mixing_lm,
+    "op4_mixture": op4_mixture,
     "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,

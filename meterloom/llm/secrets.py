@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,10 +128,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, "text"):
         found = []
         for text in batch.column("text").to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            spans = [(*x, -1, 0.0) for x in base] + list(candidate_spans(text, base))
-            found.append([dict(zip(("kind", "start", "end", "bin", "bits"), x, strict=True)) for x in spans])
+            found.append([dict(zip(("kind", "start", "end", "bin", "bits"), x, strict=True)) for x in spans_of(text or "")])
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, kind)], ["id", "spans"])
 
 
@@ -144,6 +142,41 @@ def discovery_bin(candidates: dict[int, int], alpha: float) -> int:
     return least
 
 
+def spans_of(text: str) -> list[tuple]:
+    """(kind, start, end, bin, bits) of base spans (bin -1) and candidates."""
+    base = base_spans(text)
+    return [(*x, -1, 0.0) for x in base] + list(candidate_spans(text, base))
+
+
+def redact(df: DataFrame, alpha: float = 0.01, text_col: str = "text") -> DataFrame:
+    """df with every secret in text_col replaced by its kind in angle brackets; null stays null, and no row goes."""
+
+    @F.pandas_udf("array<int>")
+    def bins(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([[s[3] for s in spans_of(t or "") if s[3] >= 0] for t in part], dtype=object)
+
+    counts = df.select(F.explode(bins(F.col(f"`{text_col}`"))).alias("bin")).groupBy("bin").count().collect()
+    least = discovery_bin({r[0]: r[1] for r in counts}, alpha)
+
+    @F.pandas_udf("string")
+    def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def clean(text: str | None) -> str | None:
+            end = 0
+            out = []
+            for kind, start, stop, level, _ in sorted(spans_of(text or ""), key=lambda s: (s[1], s[2])):
+                if 0 <= level < least or stop <= end:
+                    continue
+                out += [text[end : max(start, end)], f"<{kind}>" if start >= end else ""]
+                end = stop
+            return "".join([*out, text[end:]]) if end else text
+
+        for part in texts:
+            yield pd.Series([clean(t) for t in part], dtype=object)
+
+    return df.withColumn(text_col, cleaned(F.col(f"`{text_col}`")))
+
+
 def find_secrets(df: DataFrame, alpha: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: its id and spans, an array of (kind, start, end) by start and then kind.
 

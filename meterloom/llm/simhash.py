@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,3 +152,21 @@ def near_duplicates(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.select("fp", "root").join(least, "root")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with its columns, that have the least id of their component; one row where several have."""
+    found = near_duplicates(df, radius, id_col, text_col)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", id_col)).alias("k"))
+    keep = first.select(F.col("k.fp").alias("_fp"), F.col(f"k.{id_col}").alias("_id"))
+
+    @F.pandas_udf("long")
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash
+
+        for part in texts:
+            yield pd.Series([fingerprint(t.encode() if t else b"", xxhash.xxh64_digest) for t in part], dtype="int64")
+
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), fp(F.col(f"`{text_col}`")).alias("_fp"), F.col(f"`{id_col}`").alias("_id"))
+    rows = rows.join(keep.withColumnRenamed("_id", "_keep"), "_fp").where(F.col("_id").eqNullSafe(F.col("_keep")))
+    return rows.groupBy("_fp", "_id").agg(F.first("row").alias("row")).select("row.*")
