@@ -8,6 +8,9 @@ document then knows its global offset, and cutting at multiples of the window ne
 from __future__ import annotations
 
 import itertools
+import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,42 +19,100 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import BATCH_BYTES, portions, stored, text_bytes
+from meterloom.llm.common import BATCH_BYTES, portions, process_cache, stored, text_bytes
 
-CACHE_ENTRIES = 400_000
+#: A worker keeps the ids of at most this many words, in two generations.
+CACHE_ENTRIES = 600_000
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Letters beyond ASCII whose lower case and composition need no context.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def joins_no_words(description: str) -> bool:
+    """Whether a tokenizer's JSON has only steps that keep words apart: lower case, composition, white space made equal,
+    a split that leaves white space out and ends words before punctuation, and bytes as characters."""
+    d = json.loads(description)
+    steps = (d.get("normalizer") or {}).get("normalizers") or []
+    splits = (d.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        {x["type"] for x in steps} <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in {x["type"] for x in steps}
+        and all(x["pattern"] == {"Regex": r"\s+"} for x in steps if x["type"] == "Replace")
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"] and not splits[1]["add_prefix_space"]
+        and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and splits[0]["pattern"]["Regex"].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    )
 
 
 class ChunkEncoder:
     """Token ids of texts as packed little-endian integers.
 
-    For tokenizers that drop white space and never join across it, a text's ids are those of its chunks between ASCII
-    white space, one after another; ids of chunks are kept, up to CACHE_ENTRIES of them.
+    Where the tokenizer drops white space, ignores case and never joins across white space or from letters to
+    punctuation (joins_no_words), a text's ids are those of its chunks between ASCII white space, one after another, and
+    those of a word with punctuation behind it are the word's and the punctuation's. All other chunks are encoded
+    whole, and with other tokenizers all texts.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
+        kept = process_cache(f"ids of {path}")
+        if not kept:
+            kept |= {"tokenizer": Tokenizer.from_file(path), "young": {}, "old": {}}
+        self.kept, self.tokenizer, self.model = kept, kept["tokenizer"], kept["tokenizer"].model
+        self.by_words = joins_no_words(self.tokenizer.to_str())
+        wide = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) >= 1 << 16
+        self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        young, old = self.kept["young"], self.kept["old"]
+        new = []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha():  # ASCII letters in lower case are one piece, which the model takes as it is
+                young[w] = array(self.code, [t.id for t in self.model.tokenize(w.decode())]).tobytes()
+            else:
+                new.append(w)
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                young[w] = array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_words:
+            whole = [(t or b"").decode() for t in texts]
+            return [array(self.code, e.ids).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        if len(self.kept["young"]) > CACHE_ENTRIES // 2:
+            long = [w for w in self.kept["young"] if len(w) > 60]
+            self.kept["old"], self.kept["young"] = self.kept["young"], {}
+            for w in long:
+                del self.kept["old"][w]
         split = [(t or b"").split() for t in texts]
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        fresh = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                fresh[c] = np.array(e.ids, self.kind).tobytes()
-        if len(known) + len(fresh) <= CACHE_ENTRIES:
-            known.update(fresh)
-        else:
-            known.update(itertools.islice(((c, i) for c, i in fresh.items() if len(c) <= 40), max(0, CACHE_ENTRIES - len(known))))
-        get = known.get
-        return [b"".join([get(c) or fresh.get(c, b"") for c in chunks]) + self.end for chunks in split]
+        young = self.kept["young"]
+        ids: dict[bytes, bytes] = {}
+        later: list[tuple[bytes, bytes, bytes]] = []
+        for c in set(itertools.chain.from_iterable(split)):
+            word = stem = c.rstrip(PUNCTUATION)
+            if stem.isalpha():
+                word = stem.lower()
+            elif LETTERS.fullmatch(stem):
+                word = stem.decode().lower().encode()
+            else:
+                word = stem = c
+            tail = c[len(stem) :]
+            known = young.get(word)
+            if known is not None and not tail:
+                ids[c] = known
+            elif known is not None and (behind := young.get(tail)) is not None:
+                ids[c] = known + behind
+            else:
+                later.append((c, word, tail))
+        if later:
+            self._encode(list({w for _, *parts in later for w in parts if w and w not in young}))
+            young[b""] = b""
+            ids.update((c, young[word] + young[tail]) for c, word, tail in later)
+        return [b"".join([ids[c] for c in chunks]) + self.end for chunks in split]
 
 
 def tokenised(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
