@@ -118,10 +118,10 @@ def monthly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("session_report", with_events(f"""
-m AS (SELECT session_id, model, {SUMS}, max(ts) AS at FROM all_events GROUP BY session_id, model),
+m AS (SELECT session_id, model, {SUMS}, max(ts) AS last_ts FROM all_events GROUP BY session_id, model),
 p AS (SELECT m.*, {_COST} AS cost FROM m JOIN prices USING (model))
 SELECT session_id AS key, split_part(session_id, '/', 1) AS directory, split_part(session_id, '/', 2) AS session_file, {SUMS}, round(sum(cost), 9) AS cost_usd,
-  strftime(max(at), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(max(at)) % 1000 AS VARCHAR), 3, '0') || 'Z' AS last_activity FROM p GROUP BY session_id"""))
+  strftime(max(last_ts), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(max(last_ts)) % 1000 AS VARCHAR), 3, '0') || 'Z' AS last_activity FROM p GROUP BY session_id"""))
 def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports.session_report(b.events(spark, sf_dir), b.pricing(spark))
     return r.select(F.col("session_id").alias("key"), "directory", "session_file", *COUNTERS, F.round("cost_usd", 9).alias("cost_usd"), "last_activity")
@@ -326,7 +326,7 @@ def current_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_sql(now: str, minutes: int) -> str:
-    rates = ", ".join(f"CAST((coalesce(sum({c}), 0) * 3600000000 + {minutes} * 30000000) // ({minutes} * 60000000) AS BIGINT) AS {c}_per_hour" for c in COUNTERS)
+    rates = ", ".join(f"CAST((coalesce(sum({c}), 0) * 3600000000 + CAST({minutes} AS BIGINT) * 30000000) // (CAST({minutes} AS BIGINT) * 60000000) AS BIGINT) AS {c}_per_hour" for c in COUNTERS)
     return window_sql(now, f"TIMESTAMP '{now}' - INTERVAL 1 HOUR", f"SELECT CAST({minutes} AS BIGINT) AS window_minutes, {rates}, round(coalesce(sum(cost), 0) * 60 / {minutes}, 9) AS cost_usd_per_hour FROM p")
 
 
