@@ -412,3 +412,99 @@ def project_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.expr(_URL_PATH)
     return b.table(spark, sf_dir, "pages").select("page_id", formats.directory_of(path).alias("directory"), formats.leaf_of(path).alias("leaf"))
+
+
+_LINES_SQL = """
+WITH k AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events),
+c AS (SELECT *, CASE k % 6 WHEN 0 THEN k WHEN 5 THEN 0 ELSE 0 END AS input,
+  CASE WHEN k % 4 = 0 THEN k WHEN k % 4 = 1 THEN k + 1 WHEN k % 4 = 2 THEN k + 1 ELSE 0 END AS cached FROM k)
+SELECT event_id, CAST(input AS BIGINT) AS input, CAST(cached AS BIGINT) AS cached FROM c"""
+
+
+@query("lossy_counters", _LINES_SQL)
+def lossy_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of log lines built from events: text, fractions, negatives, booleans and containers count as nothing."""
+    from meterloom.functions import parse
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    as_text = k.cast("string")
+    forms = F.array(as_text, F.concat(F.lit('"'), as_text, F.lit('"')), F.concat(as_text, F.lit(".5")), F.lit("true"), F.lit("[1]"), F.lit("-3"))
+    cached = F.array(as_text, F.lit("null"), F.lit("-1"), F.lit('"9"'))
+    other = F.array(F.lit("7"), (k + 1).cast("string"), (k + 1).cast("string"), F.lit("{}"))
+    at = lambda a, n: F.element_at(a, (k % n + 1).cast("int"))
+    line = F.concat(
+        F.lit('{"timestamp":"2025-01-01T00:00:00Z","type":"event_msg","payload":{"type":"token_count","info":{"last_token_usage":{"input_tokens":'), at(forms, 6),
+        F.lit(',"cached_input_tokens":'), at(cached, 4), F.lit(',"cache_read_input_tokens":'), at(other, 4), F.lit("}}}}"),
+    )
+    lines = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), F.lit(0).alias("seq"), line.alias("value"))
+    return parse.records(lines).select(F.col("session_id").alias("event_id"), "last.input", F.col("last.cached_input").alias("cached"))
+
+
+@query("model_coalesce", """
+WITH k AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN k % 2 = 0 THEN event_type WHEN k % 3 = 0 THEN event_type || '-b' WHEN k % 5 = 0 THEN event_type || '-c' END AS model FROM k""")
+def model_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first model name that is text and not blank, over the places it may stand in."""
+    from meterloom.functions import parse
+
+    k, kind = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    quoted = lambda ok, x: F.when(ok, F.concat(F.lit('" '), x, F.lit(' "'))).otherwise(F.lit('"  "'))
+    line = F.concat(
+        F.lit('{"type":"turn_context","payload":{"info":{"model":7,"model_name":'), quoted(k % 2 == 0, kind), F.lit('},"model":'), quoted(k % 3 == 0, F.concat(kind, F.lit("-b"))),
+        F.lit(',"model_name":null,"metadata":{"model":'), quoted(k % 5 == 0, F.concat(kind, F.lit("-c"))), F.lit("}}}"),
+    )
+    lines = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), F.lit(0).alias("seq"), line.alias("value"))
+    return parse.records(lines).select(F.col("session_id").alias("event_id"), "model")
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """A manifest bound to files: some sessions unknown, some moved, shorter, changed or of another parser."""
+    n = F.substring("session_id", 2, 20).cast("bigint")
+    rows = files.where(n % 7 != 0)
+    return rows.select(
+        "session_id", F.when(n % 11 == 0, F.concat(F.lit("old/"), F.col("path"))).otherwise(F.col("path")).alias("path"), "compressed",
+        F.when(n % 3 == 0, F.greatest(F.col("bytes") - 10, F.lit(0))).when(n % 13 == 0, F.col("bytes") + 5).otherwise(F.col("bytes")).alias("bytes"), "mtime",
+        F.lit(0).cast("bigint").alias("parsed_bytes"), F.when(n % 17 == 0, 0).otherwise(1).alias("parser_version"), (n % 19 != 0).alias("is_valid"),
+    )
+
+
+@query("incremental_plan", _FILES + """,
+b AS (SELECT session_id, arg_max(struct_pack(path := path, compressed := compressed, bytes := bytes), struct_pack(bytes := bytes, mtime := mtime, path := path)) AS f FROM f WHERE NOT compressed GROUP BY session_id),
+n AS (SELECT session_id, f.bytes AS bytes, CAST(substr(session_id, 2) AS BIGINT) AS n FROM b)
+SELECT session_id, CASE WHEN n % 7 = 0 OR n % 11 = 0 OR n % 17 = 0 OR n % 19 = 0 THEN 'rebuild' WHEN n % 3 = 0 THEN CASE WHEN bytes > 0 THEN 'append' ELSE 'cached' END WHEN n % 13 = 0 THEN 'rebuild' ELSE 'cached' END AS action FROM n""")
+def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = inventory.preferred_files(b.files(spark, sf_dir).where("NOT compressed"))
+    return inventory.refresh_plan(best, manifest(best)).select("session_id", "action")
+
+
+@query("incremental_merge", grouped_sql(DAY))
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily report from sums by session and day: those of half the sessions stored, the rest new."""
+    from meterloom.operators.incremental import day_sums
+
+    events, options = b.events(spark, sf_dir), ReportOptions()
+    old = F.pmod(F.xxhash64("session_id"), F.lit(2)) == 0
+    both = day_sums(events.where(old), "UTC").unionByName(day_sums(events.where(~old), "UTC"))
+    return flat(reports.by_key(reports.priced(reports.regroup(both, "local_day"), b.pricing(spark), options), "local_day"), "local_day")
+
+
+@query("limit_windows", """
+WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events),
+w AS (SELECT event_id, k, greatest(0, least(100, CAST(k * 3 - 20 AS DOUBLE))) AS used FROM k)
+SELECT event_id, CASE WHEN k % 5 = 3 THEN 'no_limit_data' WHEN k % 5 = 4 THEN 'malformed' ELSE 'available' END AS status,
+  CASE WHEN k % 5 IN (0, 1, 2) THEN used END AS five_used, CASE WHEN k % 5 = 0 THEN 300 WHEN k % 5 = 1 THEN 300 END AS five_minutes,
+  CASE WHEN k % 5 = 1 THEN CAST(12.5 AS DOUBLE) WHEN k % 5 = 2 THEN CAST(7 AS DOUBLE) END AS week_used FROM w""")
+def limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate-limit windows of payloads built from events, in both schemas and both spellings."""
+    from meterloom.operators.limits import limit_windows as windows
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    used = (k * 3 - 20).cast("string")
+    shapes = F.array(
+        F.concat(F.lit('{"rate_limits":{"limit_id":"codex","primary":{"used_percent":'), used, F.lit(',"window_duration_mins":300}}}')),
+        F.concat(F.lit('{"rateLimitsByLimitId":{"x":{"limitId":"codex","primary":{"usedPercent":'), used, F.lit(',"windowDurationMins":300},"secondary":{"usedPercent":12.5,"windowDurationMins":10080}}}}')),
+        F.concat(F.lit('{"rate_limit":{"primary_window":{"used_percent":'), used, F.lit('}},"additional_rate_limits":[{"limit_name":"other","rate_limit":{"primary_window":{"used_percent":1}}},{"limit_name":"codex","rate_limit":{"primary_window":{"used_percent":7,"limit_window_seconds":604741}}}]}')),
+        F.lit('{"rate_limits":{"limit_id":"other","primary":{"used_percent":1}}}'), F.lit("{broken"),
+    )
+    rows = b.table(spark, sf_dir, "events").select("event_id", F.element_at(shapes, (k % 5 + 1).cast("int")).alias("payload"))
+    return windows(rows).select("event_id", "status", F.col("five_hour.used_percent").alias("five_used"), F.col("five_hour.window_minutes").cast("int").alias("five_minutes"), F.col("weekly.used_percent").alias("week_used"))
