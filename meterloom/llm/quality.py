@@ -22,8 +22,10 @@ WINDOW = 5
 #: Words that a ratio is smoothed by, so that short texts are not outliers for their shortness.
 PSEUDO_WORDS = 50
 #: Least standard deviation of each statistic; statistics that are mostly constant keep this spread.
-FLOORS = (0.25, 0.35, 0.35, 0.35)
+FLOORS = (0.3, 0.5, 0.6, 0.7)
 MIN_GROUP = 100
+#: Parts that the rows of a cell are dealt to when they meet its estimates, so that a hot cell is no single task.
+SALTS = 32
 
 
 def _bound(value: Column, body) -> Column:
@@ -88,6 +90,12 @@ def _vector(rows: DataFrame) -> DataFrame:
     })
 
 
+def _meet(rows: DataFrame, cells: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with the row of their cell; each cell is dealt to SALTS parts by id."""
+    salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"], how).drop("salt")
+
+
 def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance under the fit of their cell."""
     d = len(FLOORS)
@@ -97,7 +105,7 @@ def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
         for j in range(i):
             left = left - F.col(f"l{i}{j}") * F.col(f"y{j}")
         solved.append(left / F.col(f"l{i}{i}"))
-    out = rows.join(fit, "cell")
+    out = _meet(rows, fit)
     for i in range(d):
         out = out.withColumn(f"y{i}", solved[i])
     return out.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(d)]))
@@ -129,8 +137,8 @@ def outliers(
     """One row for each row of df: id, the statistics, base_failed, distance and kept.
 
     base_failed: fewer than min_words words, or over max_repeat in 100 of them repeated. Other documents are rejected
-    when their squared distance exceeds the chi-squared quantile at z standard deviations, after scaling distances so
-    that their median is that of chi-squared. Cells are the values of group_cols (null is a value); those of fewer than
+    when their squared distance exceeds the chi-squared quantile at z standard deviations, after scaling distances down
+    where their median is above that of chi-squared. Cells are the values of group_cols (null is a value); those of fewer than
     MIN_GROUP documents are pooled by the first of them, and then all together. A null or empty text has no words and
     fails; repeated rows are each judged; an empty table gives an empty result; further columns are ignored.
     """
@@ -148,20 +156,21 @@ def outliers(
         cell = F.when(F.col(f"n{i}").isNotNull(), F.col(f"key{i}")).otherwise(cell)
     rows = rows.withColumn("cell", cell)
     mean = rows.where(~F.col("base_failed")).groupBy("cell").agg((F.sum("word_chars") / F.sum("n_words")).alias("mean_chars"))
-    rows = stored(_vector(rows.join(mean, "cell", "left").na.fill(0.0, ["mean_chars"])).select("id", *stats, "base_failed", "cell", *[f"x{i}" for i in range(len(FLOORS))]))
+    rows = stored(_vector(_meet(rows, mean, "left").na.fill(0.0, ["mean_chars"])).select("id", *stats, "base_failed", "cell", *[f"x{i}" for i in range(len(FLOORS))]))
     sound = rows.where(~F.col("base_failed"))
     d = range(len(FLOORS))
     middle = sound.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in d])
-    spread = sound.join(middle, "cell").groupBy("cell").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"a{i}") for i in d])
+    middle = stored(middle)
+    spread = _meet(sound, middle).groupBy("cell").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"a{i}") for i in d])
     variances = [(F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)]
     fit = stored(_cholesky(middle.join(spread, "cell").select("cell", *[f"m{i}" for i in d], *variances)))
     for _ in range(steps):
         near = _distance(sound, fit)
         radius = stored(near.groupBy("cell").agg(F.percentile_approx("d2", share, 10_000).alias("radius")))
-        fit = stored(_fit(near.join(radius, "cell").where(F.col("d2") <= F.col("radius"))))
+        fit = stored(_fit(_meet(near, radius).where(F.col("d2") <= F.col("radius"))))
     scale = stored(_distance(sound, fit).groupBy("cell").agg(F.percentile_approx("d2", 0.5, 10_000).alias("middle")))
     typical = chi2_quantile(0.0, len(FLOORS))
-    judged = _distance(rows, fit.join(scale, "cell")).withColumn("d2", F.col("d2") * typical / F.greatest("middle", F.lit(typical / 4)))
+    judged = _distance(rows, fit.join(scale, "cell")).withColumn("d2", F.col("d2") * typical / F.greatest("middle", F.lit(typical)))
     judged = judged.select("id", *stats, "base_failed", F.sqrt("d2").alias("distance"))
     lost = rows.join(fit, "cell", "left_anti").select("id", *stats, "base_failed", F.lit(None).cast("double").alias("distance"))
     near = F.coalesce(F.col("distance") * F.col("distance") <= chi2_quantile(z, len(FLOORS)), F.lit(True))
