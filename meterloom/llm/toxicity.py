@@ -27,9 +27,10 @@ from pyspark.sql.window import Window
 
 from meterloom.llm.common import portions, stored, text_bytes
 
-MAX_EXAMPLES, MAX_TERMS, BLOCK = 6000, 4096, 64
-#: Chi-squared with one degree of freedom that a term must reach.
-LEAST_CHI2 = 30.0
+MAX_EXAMPLES, MAX_TERMS, BLOCK = 6000, 2048, 64
+#: Chi-squared with one degree of freedom that a term must reach, and how many times the share of toxic examples among
+#: all that its own must be (or how many times less), each in the balance of the labels.
+LEAST_CHI2, LEAST_LIFT = 30.0, 3.0
 NEIGHBOURS, PRIOR_WEIGHT, BINS = 15, 0.5, 40
 PUNCTUATION = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * 32)
 SCORED = "struct<score double, evidence array<struct<id long, label int, cosine double>>>"
@@ -190,7 +191,10 @@ def fit_toxicity(
     seen = examples.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
     a, b, p, q = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double"), float(toxic[1]), float(clean[1])
     chi2 = (p + q) * F.pow(a * (q - b) - b * (p - a), 2) / ((a + b) * (p + q - a - b + 1e-9) * p * q)
-    chosen = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.col("n") >= 3))
+    # odds of the term among toxic and among clean examples; a count more on each side keeps rare terms apart
+    lift = ((a + 0.5) / p) / ((b + 0.5) / q)
+    strong = (lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)
+    chosen = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & strong & (F.col("n") >= 3))
     words = [r[0] for r in chosen.orderBy(F.desc("chi2"), "word").limit(max_terms).select("word").collect()]
     vocabulary = {w.encode("latin-1"): i for i, w in enumerate(sorted(words))}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
