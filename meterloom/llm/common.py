@@ -54,6 +54,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
                 end += 1
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from meterloom.llm.common import BATCH_BYTES, portions, process_cache, stored, text_bytes
 
 #: A worker keeps the ids of at most this many words, in two generations.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Letters beyond ASCII whose lower case and composition need no context.
 LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")

@@ -31,7 +31,7 @@ MAX_EXAMPLES, MAX_TERMS, BLOCK = 6000, 2048, 64
 #: Chi-squared with one degree of freedom that a term must reach, and how many times the share of toxic examples among
 #: all that its own must be (or how many times less), each in the balance of the labels.
 LEAST_CHI2, LEAST_LIFT = 30.0, 3.0
-NEIGHBOURS, PRIOR_WEIGHT, BINS = 15, 0.5, 40
+NEIGHBOURS, PRIOR_WEIGHT, BINS, MEMO_TEXTS = 15, 0.5, 40, 500
 PUNCTUATION = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * 32)
 SCORED = "struct<score double, evidence array<struct<id long, label int, cosine double>>>"
 
@@ -272,7 +272,7 @@ def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
                 counts = Counter(w for w in terms_of(t.encode() if t else b"") if w in known)
                 key = tuple(sorted(counts.items()))
                 if key not in kept:
-                    if len(kept) > 20_000:
+                    if len(kept) >= MEMO_TEXTS:
                         kept.clear()
                     score, evidence = shared.value.score(counts)
                     kept[key] = (min(1.0, max(0.0, score)), [{"id": i, "label": y, "cosine": c} for i, y, c in evidence])
