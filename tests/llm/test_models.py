@@ -76,16 +76,19 @@ def test_toxicity(spark):
 
 
 def test_windows():
-    keys, starts = windows([b"ab", b"", b"xyz"])
-    assert starts.tolist() == [0, 3, 4] and len(keys) == 8
+    keys, hashes, starts = windows([b"ab", b"", b"xyz ab"])
+    assert starts.tolist() == [0, 3, 4] and len(keys) == 11
+    assert hashes[0] == hashes[3] == hashes[4] == hashes[8] and hashes[1] == hashes[9] and hashes[2] == hashes[10] != hashes[1]
     assert [int(k).to_bytes(6, "big") for k in keys[:3]] == [b"\xff\xff\xff\xff\xffa", b"\xff\xff\xff\xffab", b"\xff\xff\xffab\xff"]
+    long = windows([b"q" * 3000 + b" ab"])[1]
+    assert long[-1] == hashes[10] and len(set(long[:3000].tolist())) == 3000
 
 
 def test_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("the cat sat on the mat " * 20,), (None,), ("ünïcode",)], "text string")
     model = fit_model(texts)
-    context = int.from_bytes(b"e cat", "big") << 8
-    total = (10 ** model.log10(np.array([context | b for b in range(256)], np.uint64))).sum()
+    context, hashes = int.from_bytes(b"e cat", "big") << 8, windows([b"the cats"])[1]
+    total = (10 ** model.log10(np.array([context | b for b in range(256)], np.uint64), np.full(256, hashes[7]))).sum()
     assert abs(total - 1) < 1e-9
 
 
