@@ -44,13 +44,17 @@ def _first_wide(windows: Column, minutes: int) -> Column:
     return F.get(F.filter(windows, lambda w: w["window_minutes"] == minutes), F.lit(0))
 
 
-def _chosen(windows: Column) -> Column:
-    """The first window of each width; windows without a width fill what is missing, in order."""
-    present = F.filter(windows, lambda w: w.isNotNull())
-    unknown = F.filter(present, lambda w: w["window_minutes"].isNull())
-    five, week = _first_wide(present, FIVE_HOURS), _first_wide(present, WEEK)
-    rest = F.when(five.isNull(), F.get(unknown, F.lit(1))).otherwise(F.get(unknown, F.lit(0)))
-    return F.struct(F.coalesce(five, F.get(unknown, F.lit(0))).alias("five_hour"), F.coalesce(week, rest).alias("weekly"))
+def _chosen(rows: DataFrame, name: str, windows: Column) -> DataFrame:
+    """Adds column name: the first window of each width; windows without a width fill what is missing, in order.
+
+    Each step is a column of its own, so that nothing is evaluated again for every use.
+    """
+    rows = rows.withColumn("_w", F.filter(windows, lambda w: w.isNotNull()))
+    rows = rows.withColumn("_u", F.filter("_w", lambda w: w["window_minutes"].isNull()))
+    rows = rows.withColumn("_five", _first_wide(F.col("_w"), FIVE_HOURS)).withColumn("_week", _first_wide(F.col("_w"), WEEK))
+    rest = F.when(F.col("_five").isNull(), F.get("_u", F.lit(1))).otherwise(F.get("_u", F.lit(0)))
+    both = F.struct(F.coalesce("_five", F.get("_u", F.lit(0))).alias("five_hour"), F.coalesce("_week", rest).alias("weekly"))
+    return rows.withColumn(name, both).drop("_w", "_u", "_five", "_week")
 
 
 def limit_windows(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -67,7 +71,8 @@ def limit_windows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     values = F.transform(F.array_sort(F.map_entries(by_id), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), lambda e: e["value"])
     named = F.get(F.filter(values, lambda s: name(s) == LIMIT_ID), F.lit(0))
     snapshot = F.coalesce(F.try_element_at(by_id, F.lit(LIMIT_ID)), named, single)
-    protocol = F.array(_protocol(snapshot["primary"]), _protocol(snapshot["secondary"]))
+    rows = rows.withColumn("_s", snapshot)
+    protocol = F.array(_protocol(F.col("_s.primary")), _protocol(F.col("_s.secondary")))
     extra = F.filter(
         F.coalesce("_p.additional_rate_limits", "_p.additionalRateLimits"),
         lambda x: (F.coalesce(x["metered_feature"], x["meteredFeature"]) == LIMIT_ID) | F.coalesce(F.coalesce(x["limit_name"], x["limitName"]) == LIMIT_ID, F.lit(False)),
@@ -75,8 +80,8 @@ def limit_windows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     more = F.flatten(F.transform(extra, lambda x: _details(F.coalesce(x["rate_limit"], x["rateLimit"]))))
     plain = _details(F.coalesce("_p.rate_limit", "_p.rateLimit"))
     backend = F.concat(plain, F.coalesce(more, F.slice(plain, 1, 0)))
-    a, b = _chosen(protocol), _chosen(backend)
+    rows = _chosen(_chosen(rows, "_a", protocol), "_b", backend)
     has = lambda s: s["five_hour"].isNotNull() | s["weekly"].isNotNull()
-    rows = rows.withColumn("_c", F.when(has(a), a).otherwise(b))
+    rows = rows.withColumn("_c", F.when(has(F.col("_a")), F.col("_a")).otherwise(F.col("_b")))
     status = F.when(F.expr(f"try_parse_json({column})").isNull(), "malformed").when(has(F.col("_c")), "available").otherwise("no_limit_data")
-    return rows.withColumn("status", status).select("*", "_c.five_hour", "_c.weekly").drop("_p", "_c")
+    return rows.withColumn("status", status).select("*", "_c.five_hour", "_c.weekly").drop("_p", "_c", "_s", "_a", "_b")
