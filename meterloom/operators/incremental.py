@@ -15,6 +15,7 @@ from meterloom.functions.formats import month_of
 from meterloom.operators import inventory, reports
 from meterloom.operators.events import usage_events
 from meterloom.schemas import COUNTERS, ReportOptions
+from meterloom.session import checkpointed
 from meterloom.sources.files import session_files
 
 PARSER_VERSION = 1
@@ -64,14 +65,15 @@ def refresh(spark: SparkSession, lines: DataFrame, store: str, tz: str = "UTC")
     listed = manifest(spark, store)
     broken = inconsistent(stored_sums(spark, store, tz), listed).withColumn("broken", F.lit(True))
     known = listed.join(broken, "session_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("broken").isNull())
-    plan = inventory.refresh_plan(files, known, PARSER_VERSION).select("session_id", "path", "compressed", "bytes", "mtime", "action").checkpoint()
+    plan = inventory.refresh_plan(files, known, PARSER_VERSION).select("session_id", "path", "compressed", "bytes", "mtime", "action")
+    plan = checkpointed(plan)
     counts = {r[0]: r[1] for r in plan.groupBy("action").count().collect()}
     changed = plan.where(F.col("action").isin("append", "rebuild"))
     if not set(counts) & {"append", "rebuild", "removed"}:
         return counts
     generation = (_read(spark, f"{store}/manifest", MANIFEST).agg(F.max("generation")).first()[0] or 0) + 1
     events = usage_events(parse.records(lines.join(changed.select("path"), "path", "left_semi"))).where("ts IS NOT NULL")
-    sums = day_sums(events, tz).withColumn("generation", F.lit(generation)).checkpoint()
+    sums = checkpointed(day_sums(events, tz).withColumn("generation", F.lit(generation)))
     sums.write.mode("append").parquet(f"{store}/sums/tz={tz.replace('/', '~')}")
     totals = sums.groupBy("session_id").agg(F.sum("total").alias("events_total"))
     rows = plan.where("action <> 'cached'").join(totals, "session_id", "left")

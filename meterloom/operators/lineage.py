@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.session import checkpointed
+
 
 def session_by_thread(descriptors: DataFrame) -> DataFrame:
     """(thread_id, session_id): of sessions with the same thread the last in id order."""
@@ -25,7 +27,7 @@ def root_sessions(descriptors: DataFrame) -> DataFrame:
     Pointers double in each round, so paths of n sessions need log2 n rounds. What still points somewhere after them runs
     into a cycle. Each round is checkpointed in the shared folder.
     """
-    links = parents(descriptors).checkpoint()
+    links = checkpointed(parents(descriptors))
     n = links.count()
     # state: at, an ancestor that was reached; ahead, the parent of it (null at the top)
     state = links.select("session_id", F.col("session_id").alias("at"), F.col("parent").alias("ahead"))
@@ -33,7 +35,6 @@ def root_sessions(descriptors: DataFrame) -> DataFrame:
         if state.where("ahead IS NOT NULL").isEmpty():
             break
         hop = state.select(F.col("session_id").alias("ahead"), F.col("at").alias("far"), F.col("ahead").alias("further"))
-        state = state.join(hop, "ahead", "left").select(
-            "session_id", F.when(F.col("ahead").isNull(), F.col("at")).otherwise(F.col("far")).alias("at"), F.when(F.col("ahead").isNotNull(), F.col("further")).alias("ahead")
-        ).checkpoint()
+        moved = F.when(F.col("ahead").isNull(), F.col("at")).otherwise(F.col("far")).alias("at")
+        state = checkpointed(state.join(hop, "ahead", "left").select("session_id", moved, F.when(F.col("ahead").isNotNull(), F.col("further")).alias("ahead")))
     return state.select("session_id", F.when(F.col("ahead").isNull(), F.col("at")).otherwise(F.col("session_id")).alias("root_id"))

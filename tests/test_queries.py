@@ -28,9 +28,7 @@ def duck():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_equals_sql(spark, duck, tmp_path_factory, name):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
+def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     got = sorted(repr(plain(r[c] for c in columns)) for r in df.collect())

@@ -12,7 +12,6 @@ from tests.test_logs import context, tokens, usage, write
 
 
 def test_refresh_equals_full_run(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "ckpt"))
     root, store, prices = tmp_path / "logs", str(tmp_path / "store"), built_in_prices(spark)
     write(root / "a.jsonl", context("gpt-5"), tokens("2025-09-11T00:00:01Z", usage(10, 1, 2, 0)))
     write(root / "b.jsonl", tokens("2025-09-12T00:00:01Z", usage(20, 1, 2, 0)))
