@@ -20,6 +20,8 @@ from meterloom.llm.simhash import one_of_each
 from meterloom.llm.toxicity import fit_toxicity, toxicity
 
 WINDOW, END_ID, TOXIC = 2048, 1, 0.5
+#: Words whose ids a worker keeps in the last stage; workers may still hold what other stages took.
+CACHED_WORDS = 80_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +46,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), WINDOW, END_ID)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), WINDOW, END_ID, cache_entries=CACHED_WORDS)
+
+
+def in_small_batches(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash", drop_copies),
-    ("secrets", hide_secrets),
-    ("mixture", mix_sources),
-    ("packing", pack_windows),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("simhash", in_small_batches(drop_copies)),
+    ("secrets", in_small_batches(hide_secrets)),
+    ("mixture", in_small_batches(mix_sources)),
+    ("packing", in_small_batches(pack_windows)),
 ]
 
 #: No SQL: nearest examples, fingerprints and token ids are beyond it. The tests compare stages with brute force.

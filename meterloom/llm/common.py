@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A task hands at most about this many bytes of text or ids to Spark in one Arrow batch.
 BATCH_BYTES = 8 << 20
+#: Rows of whole texts that Spark hands to a task in one Arrow batch.
+BATCH_ROWS = 2500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,7 +59,13 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
     pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python in smaller batches than narrow rows could; a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from meterloom.llm.common import BATCH_BYTES, portions, process_cache, stored, text_bytes
 
-#: A worker keeps the ids of at most this many words, in two generations.
-CACHE_ENTRIES = 300_000
+#: A worker keeps the ids of about this many words, in two generations.
+CACHE_ENTRIES = 600_000
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Letters beyond ASCII whose lower case and composition need no context.
 LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -52,13 +52,14 @@ class ChunkEncoder:
     whole, and with other tokenizers all texts.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         kept = process_cache(f"ids of {path}")
         if not kept:
             kept |= {"tokenizer": Tokenizer.from_file(path), "young": {}, "old": {}}
         self.kept, self.tokenizer, self.model = kept, kept["tokenizer"], kept["tokenizer"].model
+        self.cache_entries = cache_entries
         self.by_words = joins_no_words(self.tokenizer.to_str())
         wide = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) >= 1 << 16
         self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
@@ -83,7 +84,7 @@ class ChunkEncoder:
         if not self.by_words:
             whole = [(t or b"").decode() for t in texts]
             return [array(self.code, e.ids).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        if len(self.kept["young"]) > CACHE_ENTRIES // 2:
+        if len(self.kept["young"]) > self.cache_entries // 2:
             long = [w for w in self.kept["young"] if len(w) > 60]
             self.kept["old"], self.kept["young"] = self.kept["young"], {}
             for w in long:
@@ -115,11 +116,11 @@ class ChunkEncoder:
         return [b"".join([ids[c] for c in chunks]) + self.end for chunks in split]
 
 
-def tokenised(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenised(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, cache_entries: int) -> DataFrame:
     """Stored rows (doc_id, ids, part, before): before counts the tokens that precede the row in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encode, before = TaskContext.get(), ChunkEncoder(tokenizer_path, end_id), 0
+        context, encode, before = TaskContext.get(), ChunkEncoder(tokenizer_path, end_id, cache_entries), 0
         part, width = context.partitionId() if context else 0, len(encode.end)
         for batch in portions(batches, "text"):
             ids = encode(text_bytes(batch.column("text")))
@@ -137,7 +138,8 @@ def tokenised(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    cache_entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """Cut the concatenated tokens of all documents into windows; one row for each piece of a document in a window.
 
@@ -145,7 +147,7 @@ def pack(
     text counts as empty and has only its end token. Only the last window can hold fewer tokens than window. Repeated
     rows are packed as often as they occur; an empty table gives an empty result; further columns are ignored.
     """
-    rows = tokenised(df, tokenizer_path, end_id, id_col, text_col)
+    rows = tokenised(df, tokenizer_path, end_id, id_col, text_col, cache_entries)
     totals = {r[0]: r[1] for r in rows.groupBy("part").agg(F.sum("n")).collect()}
     bases = dict(zip(sorted(totals), itertools.accumulate((totals[k] for k in sorted(totals)), initial=0), strict=False))
     shared = df.sparkSession.sparkContext.broadcast(bases)
