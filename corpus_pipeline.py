@@ -20,13 +20,14 @@ from meterloom.llm.simhash import one_of_each
 from meterloom.llm.toxicity import fit_toxicity, toxicity
 
 WINDOW, END_ID, TOXIC = 2048, 1, 0.5
-#: Words whose ids a worker keeps in the last stage; workers may still hold what other stages took.
-CACHED_WORDS = 80_000
+#: Words whose ids a worker keeps in the last stage, and rows of an Arrow batch; workers may still hold what other stages
+#: took.
+CACHED_WORDS, BATCH_ROWS = 40_000, 1000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC, after the labels of four fifths of them."""
-    labels = common.table(spark, sf_dir, "labels").where(common.id_remainder("doc_id", 5) != 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(common.id_remainder("doc_id", 5) != 0)
     score = toxicity(F.col("text"), fit_toxicity(docs, labels), spark)["score"]
     return docs.where(score < TOXIC)
 
@@ -51,7 +52,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def in_small_batches(stage):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.small_batches(spark)
+        common.small_batches(spark, BATCH_ROWS)
         return stage(spark, docs, sf_dir)
 
     return run_stage

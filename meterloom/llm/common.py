@@ -59,9 +59,9 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
     pa.default_memory_pool().release_unused()
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Rows of whole texts go to Python in smaller batches than narrow rows could; a setting of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
