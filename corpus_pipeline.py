@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from meterloom.llm import common
 from meterloom.llm.mixture import Mixture
+from meterloom.llm.nearcopies import one_near_copy
 from meterloom.llm.packing import pack
 from meterloom.llm.secrets import redact
-from meterloom.llm.simhash import one_of_each
 from meterloom.llm.toxicity import fit_toxicity, toxicity
 
-WINDOW, END_ID, TOXIC = 2048, 1, 0.5
+WINDOW, END_ID, TOXIC, SIMILAR = 2048, 1, 0.5, 0.8
 #: Words whose ids a worker keeps in the last stage, and rows of an Arrow batch; workers may still hold what other stages
 #: took.
 CACHED_WORDS, BATCH_ROWS = 40_000, 1000
@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, radius=4)
+    return one_near_copy(docs, least=SIMILAR)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
