@@ -1,37 +1,37 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled documents become TF-IDF vectors over the terms that chi-squared associates with the label, and a text is scored
-by the k examples of highest cosine. The search is exact: an inverted index keeps, for every term and block of examples,
-the largest weight in the block; blocks are visited by falling upper bound until no block can hold a better example.
-Votes are weighted by distance and by what an example stands for in its class, and are calibrated on the examples
-themselves, each scored without its own text.
-
-The examples are a sample of at most MAX_EXAMPLES of each label, and the vocabulary at most MAX_TERMS terms, so the index
-has a fixed bound and is broadcast. Document frequencies are counted over all documents.
+Labelled documents become TF-IDF vectors over all their words, and a text is scored by the k examples of highest cosine.
+The inverse document frequency, counted over all documents, is multiplied by how far the word's odds differ between the
+labels (as in delta TF-IDF, but without sign), since plain TF-IDF ranks by whatever texts have in common. No word is left
+out. The search is exact: an inverted index keeps, for every term and block of examples, the largest weight in the block;
+the blocks of highest bounds are scored first, and of the others those whose bound reaches the k-th best cosine found.
+Votes are weighted by distance, both labels having the same weight in all, and are calibrated on the examples
+themselves, each scored without itself.
+
+Examples with the same text are one, with the sum of their weights. At most MAX_EXAMPLES of each label are drawn, so the
+index has a fixed bound for a given length of texts and is broadcast.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meterloom.llm.common import portions, stored, text_bytes
 
-MAX_EXAMPLES, MAX_TERMS, BLOCK = 6000, 2048, 64
-#: Chi-squared with one degree of freedom that a term must reach, and how many times the share of toxic examples among
-#: all that its own must be (or how many times less), each in the balance of the labels.
-LEAST_CHI2, LEAST_LIFT = 30.0, 3.0
-NEIGHBOURS, PRIOR_WEIGHT, BINS, MEMO_TEXTS = 15, 0.5, 40, 500
+MAX_EXAMPLES, BLOCK, FIRST_BLOCKS = 6000, 64, 4
+#: Share of the plain inverse document frequency in the weight of a word whose odds don't differ.
+LEAST_CONTRAST = 0.05
+NEIGHBOURS, PRIOR_WEIGHT, BINS, MEMO_TEXTS = 25, 0.05, 40, 2000
 PUNCTUATION = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * 32)
 SCORED = "struct<score double, evidence array<struct<id long, label int, cosine double>>>"
 
@@ -41,87 +41,110 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(PUNCTUATION).split()
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0]..end[0]-1, start[1]..end[1]-1, ... as one array."""
+    sizes = end - start
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(start - before, sizes)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks. places/weights hold the postings of each term, by example; start[t, b] is where
-    those of block b begin, top[t, b] their largest weight. toxic and clean are the weights of the votes."""
-
-    start: np.ndarray
-    top: np.ndarray
+    """Unit vectors of examples in blocks. The postings (places, weights) are sorted by term and place; those of one term
+    in one block are an entry. first[t] is term t's first entry, blocks and tops are the block and the largest weight of
+    each entry, cuts where its postings begin."""
+
+    first: np.ndarray
+    blocks: np.ndarray
+    tops: np.ndarray
+    cuts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
-    toxic: np.ndarray
-    clean: np.ndarray
+    labels: np.ndarray
+    votes: np.ndarray
     ids: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], toxic, clean, ids, n_terms: int) -> BlockMaxIndex:
-        # neighbours in this order share their heaviest terms, which keeps the bounds of blocks tight
-        order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i], key=lambda t: (-vectors[i][t], t)))
-        entries = sorted((t, place, w) for place, i in enumerate(order) for t, w in vectors[i].items())
-        blocks = -(-len(vectors) // BLOCK)
-        terms, places = np.array([e[0] for e in entries], np.int64), np.array([e[1] for e in entries], np.int64)
-        weights = np.array([e[2] for e in entries], np.float64)
-        start = np.searchsorted(terms * blocks + places // BLOCK, np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1)).astype(np.int32)
-        top = np.zeros((n_terms, blocks))
-        np.maximum.at(top, (terms, places // BLOCK), weights)
-        at = np.array(order, np.int64)
-        return cls(start, top, places.astype(np.int32), weights, np.array(toxic, float)[at], np.array(clean, float)[at], np.array(ids, np.int64)[at])
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def build(cls, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels, votes, ids, n_terms: int) -> BlockMaxIndex:
+        """owner, terms, weights: the components of the vectors of examples 0.. in any order."""
+        n, labels, votes, ids = len(ids), np.asarray(labels, np.int64), np.asarray(votes, float), np.asarray(ids, np.int64)
+        # examples that share their heaviest term become neighbours, which keeps the bounds of blocks tight
+        heavy = np.full(n, n_terms)
+        by_weight = np.lexsort((-terms, weights))
+        heavy[owner[by_weight]] = terms[by_weight]
+        order = np.lexsort((ids, heavy))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        sort = np.lexsort((place[owner], terms))
+        terms, places, weights = terms[sort].astype(np.int64), place[owner][sort], weights[sort].astype(np.float64)
+        entry = terms * (-(-n // BLOCK)) + places // BLOCK
+        cuts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, np.int64)
+        tops = np.maximum.reduceat(weights, cuts) if len(cuts) else np.zeros(0)
+        first = np.searchsorted(terms[cuts], np.arange(n_terms + 1))
+        return cls(first, (places[cuts] // BLOCK).astype(np.int32), tops, np.append(cuts, len(terms)), places.astype(np.int32), weights, labels[order], votes[order], ids[order])
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, nearest first, ties to the earlier place."""
-        bounds = weights @ self.top[terms]
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(found) == k and bounds[b] < found[-1] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                s, e = self.start[t, b], self.start[t, b + 1]
-                if s < e:
-                    scores[self.places[s:e] - b * BLOCK] += w * self.weights[s:e]
-            hit = np.flatnonzero(scores > 0)
-            found_at, found = np.concatenate([found_at, hit + b * BLOCK]), np.concatenate([found, scores[hit]])
-            best = np.lexsort((found_at, -np.round(found, 12)))[:k]
-            found_at, found = found_at[best], found[best]
-        return found_at, found
+        start, end = self.first[terms], self.first[terms + 1]
+        entries, factor = ranges(start, end), np.repeat(weights, end - start)
+        blocks, n_blocks = self.blocks[entries], -(-len(self.ids) // BLOCK)
+        bounds = np.bincount(blocks, factor * self.tops[entries], n_blocks)
+        scores, open_ = np.zeros(len(self.ids)), np.zeros(n_blocks, bool)
+
+        def score(chosen: np.ndarray) -> None:
+            at = chosen[blocks]
+            s, e = self.cuts[entries[at]], self.cuts[entries[at] + 1]
+            posts = ranges(s, e)
+            np.add(scores, np.bincount(self.places[posts], np.repeat(factor[at], e - s) * self.weights[posts], len(scores)), out=scores)
+
+        open_[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        score(open_)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        rest = ~open_ & (bounds > 0) & (bounds >= least - 1e-9)
+        if rest.any():
+            score(rest)
+        rounded = np.round(scores, 12)
+        kth = max(np.partition(rounded, -k)[-k], 0.0) if len(rounded) > k else 0.0
+        found = np.flatnonzero((rounded >= kth) & (rounded > 0))
+        found = found[np.lexsort((found, -rounded[found]))][:k]
+        return found, scores[found]
 
 
 @dataclass
 class ToxicityModel:
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    weights: np.ndarray
     index: BlockMaxIndex | None
     base: float
     none: float
     steps: np.ndarray
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """The unit TF-IDF vector of a text's terms, empty if none is known."""
-        raw = {self.vocabulary[w]: (1 + math.log(n)) * float(self.idf[self.vocabulary[w]]) for w, n in counts.items() if w in self.vocabulary}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: raw[t] / norm for t in sorted(raw)} if norm else {}
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, in order, and components of the unit vector of a text's words; empty if no example has one of them."""
+        known = sorted((self.vocabulary[w], n) for w, n in counts.items() if w in self.vocabulary)
+        terms, n = np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], float)
+        raw = (1 + np.log(n)) * self.weights[terms]
+        return terms, raw / (math.sqrt(float(raw @ raw)) or 1.0)
 
-    def vote(self, vector: dict[int, float], own: tuple[float, float] = (0.0, 0.0)) -> tuple[float, list[tuple]]:
-        """Weighted share of toxic neighbours and the neighbours; own: weights of the text itself, to leave out."""
-        if not vector or self.index is None:
+    def vote(self, terms: np.ndarray, weights: np.ndarray, own: int | None = None) -> tuple[float, list[tuple]]:
+        """Weighted share of toxic neighbours and the neighbours; own: the id of an example to leave out."""
+        if not len(terms) or self.index is None:
             return self.none, []
-        at, cosines = self.index.nearest(list(vector), np.fromiter(vector.values(), float), NEIGHBOURS)
-        near = cosines / (1.05 - np.minimum(cosines, 1.0))
-        toxic, clean = self.index.toxic[at], self.index.clean[at]
-        if any(own) and len(cosines) and cosines[0] > 1 - 1e-9:
-            toxic, clean = toxic.copy(), clean.copy()
-            toxic[0], clean[0] = max(0.0, toxic[0] - own[0]), max(0.0, clean[0] - own[1])
-        yes, no = float(near @ toxic), float(near @ clean)
-        evidence = [(int(self.index.ids[p]), int(self.index.toxic[p] > self.index.clean[p]), float(c)) for p, c in zip(at, cosines, strict=True)]
-        return (yes + PRIOR_WEIGHT * self.base) / (yes + no + PRIOR_WEIGHT), evidence
+        at, cosines = self.index.nearest(terms, weights, NEIGHBOURS + (own is not None))
+        if own is not None:
+            other = self.index.ids[at] != own
+            at, cosines = at[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]
+        near = cosines / (1.05 - np.minimum(cosines, 1.0)) * self.index.votes[at]
+        toxic = self.index.labels[at] == 1
+        yes, every = float(near[toxic].sum()), float(near.sum())
+        evidence = [(int(self.index.ids[p]), int(self.index.labels[p]), float(c)) for p, c in zip(at, cosines, strict=True)]
+        return (yes + PRIOR_WEIGHT * 0.5) / (every + PRIOR_WEIGHT), evidence
 
     def score(self, counts: Counter) -> tuple[float, list[tuple]]:
-        vector = self.vector(counts)
-        if not vector:
+        vote, evidence = self.vote(*self.vector(counts))
+        if not evidence:
             return self.none, []
-        vote, evidence = self.vote(vector)
-        return float(np.interp(vote * BINS, np.arange(BINS) + 0.5, self.steps)), evidence
+        return min(1.0, max(0.0, float(np.interp(vote * BINS, np.arange(BINS) + 0.5, self.steps)))), evidence
 
 
 def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -136,147 +159,141 @@ def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.array([v for v, _, n in pools for _ in range(int(n))])
 
 
-def _sample(labels: DataFrame, max_examples: int) -> DataFrame:
-    """(id, label, weight): at most max_examples of each label by a hash of the id, weighted by what they stand for."""
-    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
-    share = F.pmod(F.xxhash64("id", F.lit("example")), F.lit(1 << 30)) / float(1 << 30)
-    room = F.lit(False)
-    for label, n in counts.items():
-        room = room | ((F.col("label") == label) & (share < min(1.0, 1.2 * max_examples / n + 100 / n)))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit("example")), "id")
-    kept = labels.where(room).withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_examples)
-    weight = F.lit(1.0)
-    for label, n in counts.items():
-        weight = F.when(F.col("label") == label, n / min(n, max_examples)).otherwise(weight)
-    return stored(kept.select("id", "label", weight.alias("weight")))
+def draw(candidates: DataFrame, max_examples: int) -> DataFrame:
+    """(id, label, weight): at most max_examples rows of each label by a hash of the id, whose weights stand for all."""
+    totals = {r[0]: (r[1], r[2]) for r in candidates.groupBy("label").agg(F.count("*"), F.sum("weight")).collect()}
+    rank, parts = F.xxhash64("id", F.lit("example")), []
+    share = F.pmod(rank, F.lit(1 << 30)) / float(1 << 30)
+    for label, (n, weight) in sorted(totals.items()):
+        near = candidates.where((F.col("label") == label) & (share < min(1.0, 1.2 * max_examples / n + 100 / n)))
+        kept = stored(near.orderBy(share, rank, "id").limit(max_examples))
+        drawn = kept.agg(F.sum("weight")).first()[0] or 1.0
+        parts.append(kept.withColumn("weight", F.col("weight") * float(weight / drawn)))
+    return reduce(DataFrame.unionByName, parts) if parts else candidates.limit(0)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of texts as Latin-1 strings of their bytes, and the least hash of five words, which near copies mostly share."""
+    """Terms of texts as Latin-1 strings of their bytes, with their counts."""
     for batch in portions(batches, "text"):
-        split = [terms_of(t) for t in text_bytes(batch.column("text"))]
-        counted = [Counter(w) for w in split]
-        least = [min(zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) for w in split]
+        counted = [Counter(terms_of(t)) for t in text_bytes(batch.column("text"))]
         words = pa.array([[w.decode("latin-1") for w in c] for c in counted], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("label"), batch.column("weight"), words, pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), pa.array(least, pa.int64())],
-            ["id", "label", "weight", "words", "counts", "near"],
-        )
+        counts = pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "label", "weight")], words, counts], ["id", "label", "weight", "words", "counts"])
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES
 ) -> ToxicityModel:
     """Learn from the rows of labels (id, 0 or 1) whose documents are in docs; a null label or id is no label.
 
-    A repeated label row counts once; of examples with the same text, and of most near copies, one is kept. Without examples of both labels the
-    model returns the share of toxic labels for every text (0 if there are none).
+    Repeated label rows count once, as toxic if any is; rows of docs with the same text and label are one example, that
+    of the least id, with their number as its weight. Null and empty texts are an example without words, which says how
+    likely the label is where nothing else does. Texts are taken whole, however long; columns of other names don't
+    matter. Without examples of both labels (an empty table among them) the model returns the share of toxic labels for
+    every text (0 if there are none).
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = stored(marked.join(source.select("id").distinct(), "id", "left_semi"))
-    sample = _sample(marked, max_examples)
-    # at most two times max_examples rows, hence the broadcast
-    picked = source.join(F.broadcast(sample), "id")
-    examples = stored(picked.mapInArrow(_terms, "id long, label int, weight double, words array<string>, counts array<int>, near long"))
-    order = Window.partitionBy("near", "label").orderBy("id", "counts")
-    examples = stored(examples.withColumn("k", F.row_number().over(order)).where(F.col("k") == 1).drop("k"))
+    same = source.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
+    candidates = same.join(marked, "id").groupBy("same", "label").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("weight"))
+    sample = stored(draw(stored(candidates), max_examples))
+    # at most two times max_examples rows, hence the broadcast; an id may have several texts
+    picked = source.withColumn("same", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(sample), ["id", "same"])
+    examples = stored(picked.mapInArrow(_terms, "id long, label int, weight double, words array<string>, counts array<int>").dropDuplicates(["id", "words"]))
     shares = {r[0]: (r[1], r[2]) for r in examples.groupBy("label").agg(F.sum("weight"), F.count("*")).collect()}
     toxic, clean = shares.get(1, (0.0, 0)), shares.get(0, (0.0, 0))
     base = toxic[0] / max(toxic[0] + clean[0], 1e-9)
     if not toxic[1] or not clean[1]:
         return ToxicityModel({}, np.zeros(0), None, base, base, np.full(BINS, base))
-    seen = examples.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    a, b, p, q = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double"), float(toxic[1]), float(clean[1])
-    chi2 = (p + q) * F.pow(a * (q - b) - b * (p - a), 2) / ((a + b) * (p + q - a - b + 1e-9) * p * q)
-    # odds of the term among toxic and among clean examples; a count more on each side keeps rare terms apart
-    lift = ((a + 0.5) / p) / ((b + 0.5) / q)
-    strong = (lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)
-    chosen = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & strong & (F.col("n") >= 3))
-    words = [r[0] for r in chosen.orderBy(F.desc("chi2"), "word").limit(max_terms).select("word").collect()]
-    vocabulary = {w.encode("latin-1"): i for i, w in enumerate(sorted(words))}
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    seen = examples.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).orderBy("word").toArrow()
+    vocabulary = {w.encode("latin-1"): i for i, w in enumerate(seen.column("word").to_pylist())}
+    a, n = (seen.column(c).to_numpy().astype(float) for c in ("a", "n"))
+    contrast = np.abs(np.log((a + 1) / (toxic[1] + 2)) - np.log((n - a + 1) / (clean[1] + 2)))
+    sc = docs.sparkSession.sparkContext
+    words = sc.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, total = shared.value.keys(), Counter(), 0
-        for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                n.update(known & set(terms_of(text)))
-                total += 1
-        n[b""] = total
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-    df = {r[0].encode("latin-1"): r[1] for r in source.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}
-    total = df.get(b"", 0)
-    idf = np.array([math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary])
-    model = ToxicityModel(vocabulary, idf, None, base, base, np.full(BINS, base))
-    return _index(examples, model)
+        places, total = words.value, 0
+        n = np.zeros(len(places), np.int64)
+        for batch in portions(batches, "text"):
+            found = [p for t in text_bytes(batch.column("text")) for w in set(terms_of(t)) if (p := places.get(w)) is not None]
+            n += np.bincount(np.array(found, np.int64), minlength=len(n))
+            total += batch.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(n[at], total))], ["term", "n"])
+
+    counted = source.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    weights = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (contrast + LEAST_CONTRAST)
+    return _index(examples, ToxicityModel(vocabulary, weights, None, base, base, np.full(BINS, base)))
 
 
 def _index(examples: DataFrame, model: ToxicityModel) -> ToxicityModel:
     """Add the index over the examples, and the calibration from their votes without themselves."""
     sc = examples.sparkSession.sparkContext
-    known = F.array(*[F.lit(w.decode("latin-1")) for w in model.vocabulary]) if model.vocabulary else F.array().cast("array<string>")
-    kept = F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(known, x["words"]))
-    # at most two times max_examples rows, with known terms only
-    rows = examples.select("id", "label", "weight", kept.alias("terms")).orderBy("id").collect()
-    same: dict[tuple, list] = {}
-    own, none = [], [0.0, 0.0]
-    for r in rows:
-        vector = model.vector(Counter({x["words"].encode("latin-1"): x["counts"] for x in r.terms}))
-        if not vector:
-            none[r.label] += r.weight
-            continue
-        entry = same.setdefault(tuple((t, round(w, 9)) for t, w in vector.items()), [vector, 0.0, 0.0, r.id])
-        entry[1 + (1 - r.label)] += r.weight
-        own.append((vector, r.label, r.weight))
-    model.none = none[1] / sum(none) if sum(none) else model.base
-    if not same:
-        return model
-    vectors, toxic, clean, ids = zip(*same.values(), strict=True)
-    model.index = BlockMaxIndex.build(list(vectors), toxic, clean, ids, len(model.vocabulary))
     shared = sc.broadcast(model)
 
-    def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)
+            found = [shared.value.vector(Counter(dict(zip([x.encode("latin-1") for x in w], n, strict=True)))) for w, n in counts]
+            blobs = [pa.array([f[i].astype(t).tobytes() for f in found], pa.binary()) for i, t in ((0, np.int32), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "label", "weight")], *blobs], ["id", "label", "weight", "terms", "weights"])
+
+    table = stored(examples.mapInArrow(vectors, "id long, label int, weight double, terms binary, weights binary"))
+    # at most two times max_examples rows
+    rows = table.orderBy("id", "terms").toArrow()
+    terms = [np.frombuffer(b, np.int32) for b in rows.column("terms").to_pylist()]
+    weights = [np.frombuffer(b, np.float32) for b in rows.column("weights").to_pylist()]
+    label, weight = rows.column("label").to_numpy(), rows.column("weight").to_numpy()
+    empty = np.array([not len(t) for t in terms])
+    model.none = float(weight[empty & (label == 1)].sum() / weight[empty].sum()) if empty.any() else model.base
+    owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    votes = weight / np.where(label == 1, weight[label == 1].sum(), weight[label == 0].sum()) * len(label)
+    model.index = BlockMaxIndex.build(owner, np.concatenate(terms), np.concatenate(weights), label, votes, rows.column("id").to_numpy(), len(model.vocabulary))
+    scored = sc.broadcast(model)
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for terms, weights, label, weight in zip(f["terms"], f["weights"], f["label"], f["weight"], strict=True):
-                vote, _ = shared.value.vote(dict(zip(terms.tolist(), weights.tolist(), strict=True)), (weight * label, weight * (1 - label)))
-                out.append((min(BINS - 1, int(vote * BINS)), label, weight))
-            yield pd.DataFrame(out, columns=["bin", "label", "weight"])
-
-    frame = [(list(v), list(v.values()), label, weight) for v, label, weight in own]
-    held = examples.sparkSession.createDataFrame(frame, "terms array<int>, weights array<double>, label int, weight double").repartition(16)
-    counts = held.mapInPandas(votes, "bin int, label int, weight double").groupBy("bin", "label").agg(F.sum("weight").alias("w")).collect()
-    table = np.zeros((2, BINS))
-    for r in counts:
-        table[r["label"], r["bin"]] += r["w"]
+            columns = (batch.column(c).to_pylist() for c in ("id", "label", "weight", "terms", "weights"))
+            for own, y, w, t, x in zip(*columns, strict=True):
+                if t:
+                    vote, _ = scored.value.vote(np.frombuffer(t, np.int32), np.frombuffer(x, np.float32).astype(float), own)
+                    out.append((min(BINS - 1, int(vote * BINS)), y, w))
+            bins, ys, ws = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(ys, pa.int32()), pa.array(ws, pa.float64())], ["bin", "label", "weight"])
+
+    spread = table.repartition(16, F.xxhash64("id"))
+    seen = np.zeros((2, BINS))
+    for r in spread.mapInArrow(outcomes, "bin int, label int, weight double").groupBy("bin", "label").agg(F.sum("weight").alias("w")).collect():
+        seen[r["label"], r["bin"]] += r["w"]
     prior = (np.arange(BINS) + 0.5) / BINS  # a bin without examples keeps the vote itself
-    model.steps = rising((table[1] + prior) / (table.sum(0) + 1), table.sum(0) + 1)
+    model.steps = rising((seen[1] + prior) / (seen.sum(0) + 1), seen.sum(0) + 1)
     return model
 
 
 def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
-    """score (0 to 1) and evidence, the nearest examples (id, label, cosine), of a text; null counts as empty."""
+    """score (0 to 1) and evidence, the nearest examples (id, label, cosine; of equal ones those first in the index), of a
+    text. Null, empty and unknown texts share the score of examples without words and have no evidence; long texts are
+    taken whole."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        kept: dict[tuple, tuple] = {}
+        kept: dict[int, tuple] = {}
         for part in texts:
             out = []
             for t in part:
-                known = shared.value.vocabulary
-                counts = Counter(w for w in terms_of(t.encode() if t else b"") if w in known)
-                key = tuple(sorted(counts.items()))
-                if key not in kept:
+                key = hash(t)
+                if key not in kept or kept[key][0] != len(t or ""):
                     if len(kept) >= MEMO_TEXTS:
                         kept.clear()
-                    score, evidence = shared.value.score(counts)
-                    kept[key] = (min(1.0, max(0.0, score)), [{"id": i, "label": y, "cosine": c} for i, y, c in evidence])
-                out.append(kept[key])
+                    score, evidence = shared.value.score(Counter(terms_of(t.encode() if t else b"")))
+                    kept[key] = (len(t or ""), (score, [{"id": i, "label": y, "cosine": c} for i, y, c in evidence]))
+                out.append(kept[key][1])
             yield pd.DataFrame(out, columns=["score", "evidence"])
 
     return scored(text.cast("string"))

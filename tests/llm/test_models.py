@@ -38,6 +38,12 @@ def test_language(spark):
     assert df.limit(3).select(language(F.col("text"), empty, spark).alias("p")).first().p.lang == "und"
 
 
+def plain_neighbours(vectors, query, k):
+    """(cosine, example) by brute force, best first."""
+    found = [(sum(x * v.get(t, 0.0) for t, x in query.items()), i) for i, v in enumerate(vectors)]
+    return sorted(((c, i) for c, i in found if c > 0), reverse=True)[:k]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(12)
     vectors = []
@@ -45,12 +51,52 @@ def test_block_max_search_is_exact():
         terms = rng.choice(40, rng.integers(1, 6), replace=False)
         w = rng.random(len(terms)) + 0.1
         vectors.append({int(t): float(x) for t, x in zip(terms, w / np.linalg.norm(w), strict=True)})
-    index = BlockMaxIndex.build(vectors, np.ones(700), np.zeros(700), range(700), 40)
+    owner, terms, weights = (np.array(x) for x in zip(*[(i, t, w) for i, v in enumerate(vectors) for t, w in v.items()], strict=True))
+    index = BlockMaxIndex.build(owner, terms, weights, np.ones(700), np.ones(700), np.arange(700), 40)
     for q in vectors[:60]:
-        exact = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9) for v in vectors))
-        _, cosines = index.nearest(list(q), np.array(list(q.values())), 15)
-        want = [-s for s in exact if s < 0][:15]
-        assert np.allclose(cosines, want, atol=1e-8)
+        at, cosines = index.nearest(np.array(list(q)), np.array(list(q.values())), 15)
+        assert np.allclose(cosines, [c for c, _ in plain_neighbours(vectors, q, 15)], atol=1e-8)
+    assert len(index.nearest(np.array([3]), np.array([1.0]), 700)[0]) == sum(3 in v for v in vectors)
+
+
+def test_votes_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.choice(list(SYLLABLES)), rng.randrange(5, 40)) + (" grunk" if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows if i % 4], "doc_id long, toxic int")
+    model = fit_toxicity(df, marks)
+    texts = {}
+    for i, t in sorted(rows):
+        if i % 4:
+            texts.setdefault((t or "", int(i % 3 == 0)), []).append(i)
+    terms = {k: Counter(toxicity.terms_of(k[0].encode())) for k in texts}
+    df_all = Counter(w for _, t in rows for w in set(toxicity.terms_of((t or "").encode())))
+    classes = [sum(k[1] == y for k in texts) for y in (0, 1)]
+    seen = [Counter(w for k, c in terms.items() if k[1] == y for w in c) for y in (0, 1)]
+
+    def weight(w):
+        contrast = abs(math.log((seen[1][w] + 1) / (classes[1] + 2)) - math.log((seen[0][w] + 1) / (classes[0] + 2)))
+        return (math.log((1 + len(rows)) / (1 + df_all[w])) + 1) * (contrast + toxicity.LEAST_CONTRAST)
+
+    def vector(counts):
+        raw = {w: (1 + math.log(n)) * weight(w) for w, n in counts.items() if w in seen[0] or w in seen[1]}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1
+        return {w: x / norm for w, x in raw.items()}
+
+    keys, mass = list(texts), [sum(len(v) for k, v in texts.items() if k[1] == y) for y in (0, 1)]
+    vectors = [vector(terms[k]) for k in keys]
+    for i, t in rows[:30]:
+        near = plain_neighbours(vectors, vector(Counter(toxicity.terms_of(t.encode()))), toxicity.NEIGHBOURS + 1)
+        tied = len(near) > toxicity.NEIGHBOURS and near[-1][0] > near[-2][0] - 1e-7
+        near = near[: toxicity.NEIGHBOURS]
+        votes = [(c / (1.05 - min(c, 1.0)) * len(texts[keys[j]]) / mass[keys[j][1]] * len(keys), keys[j][1]) for c, j in near]
+        want = (sum(v for v, y in votes if y) + toxicity.PRIOR_WEIGHT * 0.5) / (sum(v for v, _ in votes) + toxicity.PRIOR_WEIGHT)
+        got, evidence = model.vote(*model.vector(Counter(toxicity.terms_of(t.encode()))))
+        assert (tied or abs(got - want) < 1e-4) and np.allclose([e[2] for e in evidence], [c for c, _ in near], atol=1e-5)
+    # every text that shares a word with an example has evidence, whatever the word
+    out = df.select("doc_id", scored(F.col("text"), model, spark).alias("s")).collect()
+    assert all(r.s.evidence for r in out if r.doc_id < 300) and not any(r.s.evidence for r in out if r.doc_id >= 300)
 
 
 def test_toxicity(spark):
@@ -72,6 +118,11 @@ def test_toxicity(spark):
     held = [r for r in got if r.doc_id is not None and r.doc_id < 600 and r.doc_id % 5 == 0]
     assert sum((r.s.score >= 0.5) == (r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
     assert all(r.s.evidence and r.s.evidence[0].label == 1 for r in held if r.doc_id % 4 == 0)
+    long = df.where("doc_id < 1").selectExpr("doc_id", "concat(repeat('the th er ', 300000), 'grunk blarf') as text", "'x' as score")
+    r = long.select(scored(F.col("text"), model, spark).alias("s")).first()
+    assert r.s.evidence[0].label == 1
+    assert df.limit(0).select(scored(F.col("text"), model, spark).alias("s")).collect() == []
+    assert fit_toxicity(df.limit(0), marks).base == 0
     none = fit_toxicity(df, marks.limit(0))
     assert df.limit(2).select(scored(F.col("text"), none, spark).alias("s")).first().s.score == 0
 
@@ -196,6 +247,6 @@ def test_scores_do_not_depend_on_partitions(spark):
 
 
 def test_small_samples_stay_within_their_bound(spark):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "id long, label int")
-    kept = toxicity._sample(labels, 40).collect()
-    assert Counter(r.label for r in kept) == {0: 40, 1: 40} and all(abs(r.weight - 250 / 40) < 1e-9 for r in kept)
+    candidates = spark.createDataFrame([(i, i % 2, 2.0) for i in range(500)], "id long, label int, weight double")
+    kept = toxicity.draw(candidates, 40).collect()
+    assert Counter(r.label for r in kept) == {0: 40, 1: 40} and all(abs(r.weight - 500 / 40) < 1e-9 for r in kept)
