@@ -10,6 +10,7 @@ resolved by their id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,33 +21,45 @@ from pyspark.sql.window import Window
 from meterloom.llm.common import stored
 
 BLOCK_ROWS, TILE_ROWS = 4096, 256
-#: Larger components could overflow a 64-bit score; such vectors take no part.
-LARGEST = 1 << 24
+#: Whole numbers of larger size are held as Python's, which have no limit.
+MACHINE_SIZE = float(1 << 61)
+#: Scores travel as high * 2**LOW_BITS + low.
+LOW_BITS = 62
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, q array<int>) of the vectors that take part: not null, every component present, finite and in range."""
+    """(id, q array<double>) of the vectors that take part: not null, every component present and finite. The components
+    of q are whole numbers, which doubles hold exactly whatever their size."""
     v = F.col(vector_col)
-    sound = lambda x: x.isNotNull() & (F.abs(F.floor(F.lit(scale) * x.cast("double"))) <= LARGEST)
-    whole = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("int"))
-    finite = lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
-    ok = v.isNotNull() & F.forall(v, lambda x: F.when(x.isNull(), False).when(~finite(x), False).otherwise(sound(x)))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    whole = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < float(1 << 53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    finite = lambda x: ~F.isnan(x.cast("double")) & (F.abs(scaled(x)) < float("inf"))
+    ok = v.isNotNull() & F.forall(v, lambda x: F.when(x.isNull(), False).otherwise(finite(x)))
     return vectors.where(F.col(id_col).isNotNull()).where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("q"))
 
 
+def integers(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as int64, or as Python's integers where one is too large for that."""
+    if not values.size or np.abs(values).max() < MACHINE_SIZE:
+        return values.astype(np.int64)
+    out = np.empty(values.shape, object)
+    out.reshape(-1)[:] = [int(x) for x in values.reshape(-1).tolist()]
+    return out
+
+
 def grouped_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
     """((part, dims), ids, matrix) for runs of rows of one part and dimension, of at most limit rows."""
     key, ids, rows = None, [], []
     for batch in batches:
         for part, i, q in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("q").to_pylist(), strict=True):
             if ids and ((part, len(q)) != key or len(ids) == limit):
-                yield key, np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), key[1])
+                yield key, np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), key[1])
                 ids, rows = [], []
             key = (part, len(q))
             ids.append(i)
             rows.append(q)
     if ids:
-        yield key, np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), key[1])
+        yield key, np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), key[1])
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -63,10 +76,10 @@ def unpacked(words: np.ndarray, n: int) -> np.ndarray:
 def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index blocks: (part, dims, rows, slices a component, ids, least value of each component, slices)."""
     for (part, dims), ids, matrix in grouped_rows(batches, BLOCK_ROWS):
-        least = matrix.min(0) if dims else np.zeros(0, np.int64)
-        above = (matrix - least).astype(np.uint64)
+        least, whole = matrix.min(0) if dims else np.zeros(0), integers(matrix)
+        above = whole - integers(least)
         width = max(1, int(above.max()).bit_length()) if dims else 1
-        slices = [packed(((above.T >> np.uint64(j)) & np.uint64(1)).astype(np.uint8)) for j in range(width)]
+        slices = [packed(((above.T >> j) & 1).astype(np.uint8)) for j in range(width)]
         body = np.stack(slices, 1).tobytes() if dims else b""
         yield pa.RecordBatch.from_pydict(
             {"part": [part], "dims": [dims], "n": [len(ids)], "width": [width], "ids": [ids.tobytes()], "least": [least.tobytes()], "slices": [body]},
@@ -86,12 +99,12 @@ def score_slices(slices: np.ndarray, full: np.ndarray, query: np.ndarray) -> tup
     dims, width, words = slices.shape
     size = np.abs(query)
     # a negative factor takes the complement: -a * x = a * (top - x) - a * top
-    down = query < 0
-    constant = -int(size[down].sum()) * ((1 << width) - 1)
+    down = (query < 0).astype(bool)
+    constant = -sum(size[down].tolist()) * ((1 << width) - 1)
     y = np.where(down[:, None, None], ~slices & full, slices)
     waiting: list[list[np.ndarray]] = [[] for _ in range(int(size.max(initial=0)).bit_length() + width + 1)]
     for i in range(int(size.max(initial=0)).bit_length()):
-        chosen = y[(size >> i) & 1 == 1]
+        chosen = y[((size >> i) & 1 == 1).astype(bool)]
         for j in range(width):
             if len(chosen):
                 waiting[i + j].append(chosen[:, j])
@@ -137,28 +150,55 @@ def top_rows(scores: list[np.ndarray], valid: np.ndarray, k: int, n: int) -> np.
     return np.concatenate([np.flatnonzero(unpacked(sure, n)), np.flatnonzero(unpacked(open_, n))[:missing]])
 
 
+@dataclass
+class Block:
+    n: int
+    ids: np.ndarray
+    least: np.ndarray
+    slices: np.ndarray
+    full: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["width"], -(-row["n"] // 64))
+        return cls(row["n"], np.frombuffer(row["ids"], np.int64), integers(np.frombuffer(row["least"], np.float64)), slices, packed(np.ones(row["n"], np.uint8)))
+
+    def best(self, qid: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        """Ids and scores of the k best rows but the query's own."""
+        scores, constant = score_slices(self.slices, self.full, query)
+        constant += sum(a * b for a, b in zip(query.tolist(), self.least.tolist(), strict=True))
+        found = top_rows(scores, self.full & ~packed((self.ids == qid).astype(np.uint8)), k, self.n)
+        values = [constant] * len(found)
+        for w, s in enumerate(scores):
+            hit = s[found >> 6] >> (found & 63).astype(np.uint64) & np.uint64(1)
+            values = [v + (int(h) << w) for v, h in zip(values, hit, strict=True)]
+        return self.ids[found].tolist(), values
+
+
 def _search(k: int):
+    """Answers from rows sorted by part, dims and kind: the blocks of a part first, then the tiles that meet them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, blocks = None, []
+        most = (1 << 63) - 1
         for batch in batches:
             for row in batch.to_pylist():
-                n, dims = row["n"], row["dims"]
-                ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
-                slices = np.frombuffer(row["slices"], np.uint64).reshape(dims, row["width"], -(-n // 64))
-                least, queries = np.frombuffer(row["least"], np.int64), np.frombuffer(row["queries"], np.int64).reshape(len(qids), dims)
-                full = packed(np.ones(n, np.uint8))
-                out: list[list] = [[], [], []]
-                for qid, query in zip(qids.tolist(), queries, strict=True):
-                    scores, constant = score_slices(slices, full, query)
-                    constant += int(query @ least)
-                    found = top_rows(scores, full & ~packed((ids == qid).astype(np.uint8)), k, n)
-                    values = [constant] * len(found)
-                    for w, s in enumerate(scores):
-                        hit = s[found >> 6] >> (found & 63).astype(np.uint64) & np.uint64(1)
-                        values = [v + (int(h) << w) for v, h in zip(values, hit, strict=True)]
-                    out[0] += [qid] * len(found)
-                    out[1] += ids[found].tolist()
-                    out[2] += values
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+                if (row["part"], row["dims"]) != key:
+                    key, blocks = (row["part"], row["dims"]), []
+                if row["kind"] == 0:
+                    blocks.append(Block.of(row))
+                    continue
+                qids = np.frombuffer(row["qids"], np.int64)
+                queries = np.frombuffer(row["queries"], np.float64).reshape(len(qids), row["dims"])
+                out: list[list] = [[], [], [], []]
+                for block in blocks:
+                    for qid, query in zip(qids.tolist(), queries, strict=True):
+                        ids, values = block.best(qid, integers(query), k)
+                        out[0] += [qid] * len(ids)
+                        out[1] += ids
+                        out[2] += [max(-most, min(most, v >> LOW_BITS)) for v in values]
+                        out[3] += [v & ((1 << LOW_BITS) - 1) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "high", "low"])
 
     return run
 
@@ -168,23 +208,27 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query vector the k other rows of highest integer inner product.
 
-    Components become floor(scale * x). Ties go to the smaller id. Vectors that are null, hold null or non-finite
-    components, have no id, or components beyond LARGEST take no part; only vectors of the same length meet. Of rows
-    that repeat a query's id one asks (the least vector) and none answers; other repeated rows each count. Fewer than k
+    Components become floor(scale * x), of any size. Ties go to the smaller id. Vectors that are null, hold null or
+    non-finite components, or have no id take no part; only vectors of the same length meet. Of rows that repeat a
+    query's id one asks (the least vector) and none answers; other repeated rows each count. Scores beyond a long are
+    ranked by their true value (beyond 2**124 as equal) and given as the largest or smallest long. Fewer than k
     candidates give fewer rows; an empty table gives an empty result; further columns are ignored.
     """
-    rows = stored(quantised(vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False))), scale, id_col, vector_col))
-    asked = quantised(vectors.where(is_query), scale, id_col, vector_col).groupBy("id").agg(F.min("q").alias("q"))
+    rows = stored(quantised(vectors, scale, id_col, vector_col))
+    asked = quantised(vectors.where(F.coalesce(is_query, F.lit(False))), scale, id_col, vector_col).groupBy("id").agg(F.min("q").alias("q"))
     n_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    part = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    part = F.pmod(F.xxhash64("id", "q"), F.lit(n_blocks)).cast("int")
     shape = "part int, dims int, n int, width int, ids binary, least binary, slices binary"
     blocks = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", F.size("q"), "id").mapInArrow(build, shape)
-    blocks = stored(blocks)
     n_tiles = max(1, -(-asked.count() // TILE_ROWS))
     tiled = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_tiles)).cast("int")).repartition("part").sortWithinPartitions("part", F.size("q"))
     tiled = stored(tiled.mapInArrow(tiles, "dims int, qids binary, queries binary"))
-    # every tile meets every block, each pair in whatever task holds it
-    met = tiled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["part", "dims"])
-    found = met.repartition(F.xxhash64("qids", "ids")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # blocks stay as they are built, one move each; copies of the tiles come to them
+    meets = tiled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("kind", F.lit(1))
+    met = blocks.withColumn("kind", F.lit(0)).unionByName(meets, allowMissingColumns=True)
+    # sorting keeps ids in order within a part, whose blocks are built in that order
+    found = met.repartition(n_blocks, "part").sortWithinPartitions("part", "dims", "kind").mapInArrow(_search(k), "query_id long, vec_id long, high long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    limit = F.lit((1 << 63) - 1)
+    score = F.when(F.col("high") > 1, limit).when(F.col("high") < -2, -limit - 1).otherwise(F.shiftleft("high", LOW_BITS) + F.col("low"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

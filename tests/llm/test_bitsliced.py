@@ -14,7 +14,7 @@ def brute(rows, k):
         q = min(v for i, v in ok if i == qi)
         scores = sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in ok if i != qi and len(v) == len(q)))[:k]
         out += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    return sorted(out)
+    return sorted((q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in out)
 
 
 def test_equals_brute_force(spark, monkeypatch):
@@ -24,6 +24,7 @@ def test_equals_brute_force(spark, monkeypatch):
     rows = [(i, [round(rng.uniform(-1, 1), rng.choice([1, 7])) for _ in range(6)]) for i in range(130)]
     rows += [(131, rows[3][1]), (132, rows[3][1]), (133, [0.0] * 6), (140, [0.0] * 6), (134, None), (135, [1.0, None] * 3), (145, [float("nan")] * 6), (136, [float("inf")] * 6)]
     rows += [(10, rows[11][1]), (12, rows[12][1]), (None, [0.5] * 6), (150, [0.5, 0.25]), (151, [1.0, -1.0]), (155, [])]
+    rows += [(160, [70000.0] * 6), (161, [-70000.5] * 6), (165, [1e15, -1e15, 3e9, 0.25, 1e-30, 7.0]), (166, [1e15, 1e15, 1.0, 2.0, 3.0, 4.0]), (167, [1e30] + [0.0] * 5)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
     exact = [(i, v and [x if x is None else float(__import__("numpy").float32(x)) for x in v]) for i, v in rows]
     got = sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0, k=5).collect()))
