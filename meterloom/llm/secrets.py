@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and tokens that a battery of randomness tests tells from text.
 
-Candidates are runs of the characters of common encodings that mix letters with digits. The encoding is inferred from
-the characters, and three tests ask whether the token could be random in it: chi-squared uniformity over the alphabet,
-runs above and below the middle of the alphabet, and lag-one serial correlation. A candidate is refused if the tests,
-combined, reject randomness. For the others the null hypothesis is "not random": the probability that a token of its
-length whose characters are as uneven as in words would pass so well. Short tokens can't give strong evidence, so the
-Benjamini-Hochberg procedure runs over all candidates with weights that grow with length. Its threshold comes from
-counts of candidates over fixed bins of evidence, whose number doesn't depend on the corpus.
+Candidates are runs of the characters of common encodings, those of the fixed patterns among them. The encoding is the
+narrowest that fits the characters, and three tests ask whether the token could be random in it: chi-squared uniformity
+over the alphabet, runs above and below the middle of the alphabet, and lag-one serial correlation. A candidate that the
+tests, combined, find not random has p-value 1. For the others it is the probability that a token of its length, whose
+characters are as uneven as those of the whole corpus in that alphabet, would look so even. Short tokens can't give strong
+evidence, so the Benjamini-Hochberg procedure runs over all candidates with weights in proportion to length, of mean 1.
+Its threshold comes from counts of candidates over fixed bins of evidence, whose number doesn't depend on the corpus.
 """
 
 from __future__ import annotations
@@ -14,25 +14,27 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm.common import portions, stored
 
 KINDS = ("assign", "access", "hex", "random")
-SPANS = "array<struct<kind:string,start:int,end:int,bin:int,bits:float>>"
+SPANS = "array<struct<kind:string,start:int,end:int,alphabet:int,n:int,stat:double,random:double,covered:boolean>>"
+SPAN_FIELDS = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("alphabet", pa.int32()), ("n", pa.int32()), ("stat", pa.float64()), ("random", pa.float64()), ("covered", pa.bool_())])
 #: Evidence is -10 log10 of the weighted p-value, rounded down; the last bin is open.
 BINS = 400
 #: Combined p-value below which a token isn't random in its encoding.
 RANDOM_ALPHA = 0.005
-#: Chance that two letters of ordinary text are equal; over an alphabet of k it makes chi-squared grow by k times this
-#: less 1 for each character, LEAST_UNEVENNESS at least.
-WORD_COINCIDENCE, LEAST_UNEVENNESS = 0.065, 1.0
-MIN_LENGTH, REFERENCE_LENGTH = 20, 32
+#: Least unevenness of characters that aren't random: chi-squared grows by as much for each of them.
+LEAST_UNEVENNESS = 1.0
+#: Shortest token, and length beyond which weight doesn't grow.
+MIN_LENGTH, FULL_LENGTH = 20, 128
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,11 +42,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH)
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Alphabets, narrow ones first.
 ENCODINGS = (
-    ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER),
-    ("BASE36", DIGITS + UPPER), ("base62", UPPER + LOWER + DIGITS), ("base64", UPPER + LOWER + DIGITS + "+/"),
-    ("base64url", UPPER + LOWER + DIGITS + "-_"),
+    ("decimal", DIGITS), ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("lower", LOWER), ("upper", UPPER), ("base32", UPPER + "234567"),
+    ("base36", DIGITS + LOWER), ("BASE36", DIGITS + UPPER), ("letters", UPPER + LOWER), ("base62", UPPER + LOWER + DIGITS),
+    ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"),
 )
+_SETS = [(frozenset(a), {c: i for i, c in enumerate(a)}) for _, a in ENCODINGS]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -56,13 +60,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def encoding_of(token: str) -> str | None:
-    """The alphabet of the narrowest encoding that fits and that the token mixes as only encoded data does."""
-    chars = set(token)
-    digits, lower, upper = bool(chars & set(DIGITS)), bool(chars & set(LOWER)), bool(chars & set(UPPER))
-    if not digits or not (lower or upper):
-        return None
-    return next((a for _, a in ENCODINGS if chars <= set(a)), None)
+def encoding_of(token: str) -> tuple[str, int] | None:
+    """The characters to test and the number of the narrowest alphabet that has them all. Dashes that cut a token into
+    groups of four characters or more are no data."""
+    groups = token.split("-")
+    body = "".join(groups) if len(groups) > 2 and min(map(len, groups)) >= 4 else token
+    chars = set(body)
+    found = next((i for i, (s, _) in enumerate(_SETS) if chars <= s), None)
+    return None if found is None or len(body) < MIN_LENGTH else (body, found)
 
 
 def upper_tail(x: float) -> float:
@@ -78,15 +83,15 @@ def chi2_upper(x: float, k: float, shift: float = 0.0) -> float:
     return upper_tail(((max(x, 1e-9) / m) ** h - mean) / (h * math.sqrt(2 * p) * (1 + 0.5 * c * p)))
 
 
-def battery(token: str, alphabet: str) -> tuple[float, float]:
-    """(combined p-value of randomness, p-value of being no more random than words)."""
-    n = len(token)
-    place = np.array([alphabet.index(c) for c in token])
-    counts = np.bincount(place, minlength=len(alphabet))
-    stat = float(((counts - n / len(alphabet)) ** 2).sum() * len(alphabet) / n)
-    free = len(alphabet) - 1
-    ps = [chi2_upper(stat, free)]
-    high = place >= len(alphabet) / 2
+def battery(body: str, alphabet: int) -> tuple[float, float]:
+    """(chi-squared of the characters, combined p-value of randomness)."""
+    n, (_, places) = len(body), _SETS[alphabet]
+    size = len(places)
+    place = np.fromiter(map(places.__getitem__, body), np.int64, n)
+    counts = np.bincount(place, minlength=size)
+    stat = float(((counts - n / size) ** 2).sum() * size / n)
+    ps = [chi2_upper(stat, size - 1)]
+    high = place >= size / 2
     a = int(high.sum())
     b = n - a
     if a and b:
@@ -101,35 +106,56 @@ def battery(token: str, alphabet: str) -> tuple[float, float]:
     ps.append(2 * upper_tail(abs(r + 1 / n) * math.sqrt(n)))
     fisher = -2 * sum(math.log(max(min(p, 1.0), 1e-300)) for p in ps)
     half = fisher / 2
-    random_p = math.exp(-half) * (1 + half + half * half / 2)
-    uneven = max(LEAST_UNEVENNESS, WORD_COINCIDENCE * len(alphabet) - 1)
-    return random_p, 1 - chi2_upper(stat, free, uneven * n)
+    return stat, math.exp(-half) * (1 + half + half * half / 2)
 
 
-def candidate_spans(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple]:
-    """(kind, start, end, bin, bits) of tokens that may be random and overlap no base span."""
+def spans_of(text: str) -> list[tuple]:
+    """Spans as SPANS: those of the fixed patterns (alphabet -1), then the candidates; covered ones overlap a fixed one."""
+    base = base_spans(text)
+    out = [(*x, -1, 0, 0.0, 0.0, False) for x in base]
+    # the farthest end of the base spans that begin before a place; both lists are in order
+    at, reach = 0, 0
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for _, s, e in base):
-            continue
         token = m[0].strip("-_/+")
-        start = text.index(token, start)
-        if len(token) < MIN_LENGTH or (alphabet := encoding_of(token)) is None:
+        found = encoding_of(token)
+        if found is None:
             continue
-        random_p, word_p = battery(token, alphabet)
-        if random_p >= RANDOM_ALPHA:
-            weighted = max(word_p, 1e-300) * REFERENCE_LENGTH / min(len(token), 4 * REFERENCE_LENGTH)
-            level = min(BINS - 1, max(0, int(-10 * math.log10(min(weighted, 1.0)))))
-            yield "random", start, start + len(token), level, float(len(token) * math.log2(len(alphabet)))
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("bin", pa.int32()), ("bits", pa.float32())]))
-    for batch in portions(batches, "text"):
-        found = []
-        for text in batch.column("text").to_pylist():
-            found.append([dict(zip(("kind", "start", "end", "bin", "bits"), x, strict=True)) for x in spans_of(text or "")])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, kind)], ["id", "spans"])
+        start = m.start() + m[0].index(token)
+        end = start + len(token)
+        while at < len(base) and base[at][1] < end:
+            reach = max(reach, base[at][2])
+            at += 1
+        out.append(("random", start, end, found[1], len(found[0]), *battery(*found), reach > start))
+    return out
+
+
+@dataclass
+class Family:
+    """What all candidates of a corpus say about one: their number and mean weight, the unevenness of each alphabet in
+    the corpus, and the least bin of evidence that is a discovery."""
+
+    total: int
+    mean: float
+    uneven: list[float]
+    least: int = BINS
+
+    def level(self, alphabet: int, n: int, stat: float, random_p: float) -> int:
+        """The bin of evidence of a candidate."""
+        if random_p < RANDOM_ALPHA:
+            return 0
+        p = 1 - chi2_upper(stat, len(_SETS[alphabet][1]) - 1, self.uneven[alphabet] * n)
+        weighted = max(p, 1e-300) * self.mean / min(n, FULL_LENGTH)
+        return min(BINS - 1, max(0, int(-10 * math.log10(min(weighted, 1.0)))))
+
+
+def unevenness(counts: np.ndarray) -> list[float]:
+    """For each alphabet, its size times the chance that two of the corpus' characters in it are equal, less one;
+    counts: by byte."""
+    out = []
+    for _, alphabet in ENCODINGS:
+        n = counts[[ord(c) for c in alphabet]].astype(float) + 1
+        out.append(max(LEAST_UNEVENNESS, len(alphabet) * float(((n / n.sum()) ** 2).sum()) - 1))
+    return out
 
 
 def discovery_bin(candidates: dict[int, int], alpha: float) -> int:
@@ -142,30 +168,62 @@ def discovery_bin(candidates: dict[int, int], alpha: float) -> int:
     return least
 
 
-def spans_of(text: str) -> list[tuple]:
-    """(kind, start, end, bin, bits) of base spans (bin -1) and candidates."""
-    base = base_spans(text)
-    return [(*x, -1, 0.0) for x in base] + list(candidate_spans(text, base))
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each text; the first row of a batch carries the counts of the batch's bytes."""
+    for batch in portions(batches, "text"):
+        texts = batch.column("text").to_pylist()
+        found = [[dict(zip(SPAN_FIELDS.names, x, strict=True)) for x in spans_of(t or "")] for t in texts]
+        seen = np.bincount(np.frombuffer("".join([t or "" for t in texts]).encode(), np.uint8), minlength=128)[:128]
+        counts = [seen.tolist(), *[None] * (len(texts) - 1)]
+        arrays = [batch.column("id"), pa.array(found, pa.list_(SPAN_FIELDS)), pa.array(counts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "spans", "counts"])
 
 
-def redact(df: DataFrame, alpha: float = 0.01, text_col: str = "text") -> DataFrame:
-    """df with every secret in text_col replaced by its kind in angle brackets; null stays null, and no row goes."""
+def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return stored(rows.mapInArrow(_scan, f"id {kind}, spans {SPANS}, counts array<long>"))
+
+
+def levels(spans: Column, family: Family) -> Column:
+    """The bin of evidence of each span, -1 for those of the fixed patterns."""
 
     @F.pandas_udf("array<int>")
-    def bins(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([[s[3] for s in spans_of(t or "") if s[3] >= 0] for t in part], dtype=object)
+    def of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in columns:
+            yield pd.Series([[family.level(s["alphabet"], s["n"], s["stat"], s["random"]) if s["alphabet"] >= 0 else -1 for s in row] for row in part], dtype=object)
+
+    return of(spans)
+
 
-    counts = df.select(F.explode(bins(F.col(f"`{text_col}`"))).alias("bin")).groupBy("bin").count().collect()
-    least = discovery_bin({r[0]: r[1] for r in counts}, alpha)
+def family_of(found: DataFrame, alpha: float) -> Family:
+    """The family of all candidates of scanned texts."""
+    length = F.least("s.n", F.lit(FULL_LENGTH))
+    total, mean = found.select(F.explode("spans").alias("s")).where("s.alphabet >= 0").agg(F.count("*"), F.avg(length)).first()
+    counts = np.zeros(128, np.int64)
+    for r in found.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
+        counts[r[0]] = r[1]
+    family = Family(total, mean or 1.0, unevenness(counts))
+    bins = found.where(F.size("spans") > 0).select(F.explode(levels(F.col("spans"), family)).alias("bin")).where("bin >= 0").groupBy("bin").count().collect()
+    family.least = discovery_bin({r[0]: r[1] for r in bins}, alpha)
+    return family
+
+
+def redact(df: DataFrame, alpha: float = 0.01, text_col: str = "text") -> DataFrame:
+    """df with every secret in text_col replaced by its kind in angle brackets; overlapping ones by the kind of the first.
+
+    Null stays null, empty texts stay empty, long texts are taken whole; no row goes, repeated rows are each cleaned, an
+    empty table stays empty, and other columns stay as they are, whatever their names.
+    """
+    family = family_of(scanned(df.select(F.lit(0).alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text"), alpha)
 
     @F.pandas_udf("string")
     def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def clean(text: str | None) -> str | None:
             end = 0
             out = []
-            for kind, start, stop, level, _ in sorted(spans_of(text or ""), key=lambda s: (s[1], s[2])):
-                if 0 <= level < least or stop <= end:
+            for kind, start, stop, *test, covered in sorted(spans_of(text or ""), key=lambda s: (s[1], s[2])):
+                if covered or (test[0] >= 0 and family.level(*test) < family.least) or stop <= end:
                     continue
                 out += [text[end : max(start, end)], f"<{kind}>" if start >= end else ""]
                 end = stop
@@ -181,14 +239,17 @@ def find_secrets(df: DataFrame, alpha: float = 0.01, id_col: str = "doc_id", tex
     """One row for each row of df: its id and spans, an array of (kind, start, end) by start and then kind.
 
     Positions are code points, ends exclusive. Kinds: assign, access and hex are fixed patterns; random are tokens that
-    the tests find. Null and empty texts have no spans; repeated rows are each scanned; an empty table gives an empty
-    result; further columns are ignored.
+    the tests find and no fixed pattern touches. Null and empty texts have no spans; long texts are taken whole; repeated
+    rows are each scanned, and each counts in the family of tests; an empty table gives an empty result; further columns
+    are ignored, whatever their names.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    found = stored(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, f"id {kind}, spans {SPANS}"))
-    counts = found.select(F.explode("spans").alias("s")).where("s.bin >= 0").groupBy("s.bin").count().collect()
-    least = discovery_bin({r[0]: r[1] for r in counts}, alpha)
+    found = scanned(df, id_col, text_col)
+    family = family_of(found, alpha)
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    kept = F.filter("spans", lambda s: (s["bin"] < 0) | (s["bin"] >= least))
-    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.try_element_at(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return found.select(F.col("id").alias(id_col), F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    # texts without spans, nearly all, don't go through Python again
+    level = F.when(F.size("spans") > 0, levels(F.when(F.size("spans") > 0, F.col("spans")).otherwise(F.array().cast(SPANS)), family))
+    with_level = F.transform("spans", lambda s, i: F.struct(s.alias("s"), F.get("level", i).alias("level")))
+    kept = F.filter(with_level, lambda x: (x["level"] < 0) | ((x["level"] >= family.least) & ~x["s"]["covered"]))
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["s"]["start"].alias("start"), F.try_element_at(rank, x["s"]["kind"]).alias("rank"), x["s"]["end"].alias("end"), x["s"]["kind"].alias("kind"))))
+    rows = found.withColumn("level", level)
+    return rows.select(F.col("id").alias(id_col), F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
