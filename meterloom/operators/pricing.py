@@ -70,13 +70,32 @@ def is_free_route(model: Column) -> Column:
     return (lower == "openrouter/free") | (lower.startswith("openrouter/") & lower.endswith(":free"))
 
 
+def _root(model: Column) -> Column:
+    """A name without all its provider prefixes; the candidates of a model have its root or the alias of that."""
+    return F.regexp_replace(model, "^(?:" + "|".join(PROVIDER_PREFIXES) + ")+", "")
+
+
+def with_prices(rows: DataFrame, pricing: DataFrame) -> DataFrame:
+    """rows with the three costs of their model: the price of the first candidate that has one, else 0.
+
+    Rows are used once: the price list is grouped by root name, a few names each, and joins on the model's root and on
+    the alias of it.
+    """
+    named = pricing.groupBy("model").agg(F.min(F.struct(*COSTS)).alias("p"))
+    listed = named.groupBy(_root(F.col("model")).alias("_root")).agg(F.map_from_entries(F.collect_list(F.struct("model", "p"))).alias("_names"))
+    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    model = F.trim("model")
+    met = rows.withColumns({"_own": _root(model), "_alias": F.try_element_at(alias, _root(model))})
+    met = met.join(listed.toDF("_own", "_own_names"), "_own", "left").join(listed.toDF("_alias", "_alias_names"), "_alias", "left")
+    price_of = lambda name: F.coalesce(F.try_element_at("_own_names", name), F.try_element_at("_alias_names", name))
+    found = F.get(F.filter(F.transform(candidates(model), price_of), lambda p: p.isNotNull()), 0)
+    price = lambda c: F.when(is_free_route(F.col("model")), 0.0).otherwise(F.coalesce(F.col("_price")[c], F.lit(0.0)))
+    return met.withColumn("_price", found).select(*rows.columns, *[price(c).alias(c) for c in COSTS])
+
+
 def resolved_prices(models: DataFrame, pricing: DataFrame) -> DataFrame:
-    """(model, three costs) for every distinct model of models: the price of the first candidate that has one, else 0."""
-    names = models.select("model").distinct()
-    tried = names.select("model", F.posexplode(candidates(F.trim("model"))).alias("place", "name"))
-    found = tried.join(pricing.withColumnRenamed("model", "name"), "name").groupBy("model").agg(F.min_by(F.struct(*COSTS), F.col("place")).alias("p"))
-    price = lambda c: F.when(is_free_route(F.col("model")), 0.0).otherwise(F.coalesce(F.col(f"p.{c}"), F.lit(0.0))).alias(c)
-    return names.join(found, "model", "left").select("model", *[price(c) for c in COSTS])
+    """(model, three costs) for every distinct model of models."""
+    return with_prices(models.select("model").distinct(), pricing)
 
 
 def cost(input_: Column, cached: Column, output: Column, cached_is_free: bool = False) -> Column:

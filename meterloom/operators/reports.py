@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.formats import directory_of, leaf_of, local_day, minus, month_of, rfc3339
-from meterloom.operators.pricing import cost, resolved_prices
+from meterloom.operators.pricing import cost, with_prices
 from meterloom.schemas import COUNTERS, ReportOptions
 
 FALLBACK = tuple(f"fallback_{c}" for c in COUNTERS)
@@ -45,7 +45,7 @@ def shown(rows: DataFrame, options: ReportOptions, prefix: str = "") -> DataFram
 def priced(sums: DataFrame, pricing: DataFrame, options: ReportOptions) -> DataFrame:
     """Adds cost_usd of all counters, and explicit_cost_usd and fallback_cost_usd of their parts, to rows of a model."""
     free = options.cached_is_free
-    out = shown(sums.join(resolved_prices(sums, pricing), "model"), options)
+    out = shown(with_prices(sums, pricing), options)
     out = shown(out, options, "fallback_")
     own = [minus(F.col(c), F.col(f"fallback_{c}")) for c in ("input", "cached_input", "output")]
     return out.withColumns({
