@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
+import numpy as np
 
-from meterloom.llm.quality import outliers, statistics
+from meterloom.llm import quality
+from meterloom.llm.quality import outliers, robust_fit, statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,5 +51,53 @@ def test_outliers(spark):
         assert r.kept == (not bad) and r.base_failed == (r.doc_id >= 700), r
 
 
+def plain_fit(x, centre, spread, share=0.75):
+    """The estimate of one cell by numpy: (centre, covariance) of the better of both starts."""
+    floors = np.diag(np.square(quality.FLOORS))
+
+    def drawn(rows, m, s):
+        n = len(rows)
+        return (n * m + quality.PRIOR_CENTRE * centre) / (n + quality.PRIOR_CENTRE), (n * s + quality.PRIOR_ROWS * np.diag(spread)) / (n + quality.PRIOR_ROWS) + floors
+
+    low = lambda v, p: np.sort(v, axis=0)[max(int(np.ceil(p * len(v))) - 1, 0)]
+    middle = low(x, 0.5)
+    found = []
+    for m, s in ((middle, np.diag((1.4826 * low(np.abs(x - middle), 0.5)) ** 2)), (x.mean(0), np.cov(x.T, bias=True).reshape(x.shape[1], -1))):
+        m, s = drawn(x, m, s)
+        for _ in range(quality.MOST_STEPS):
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+            near = x[d2 <= low(d2, share)]
+            m, s = drawn(near, near.mean(0), np.cov(near.T, bias=True).reshape(x.shape[1], -1))
+        found.append((np.linalg.slogdet(s)[1], m, s))
+    return min(found, key=lambda f: round(f[0], 9))[1:]
+
+
+def test_estimates_equal_numpy_for_cells_of_any_size(spark):
+    rng = np.random.default_rng(22)
+    cells = {"one": 1, "tiny": 5, "small": 50, "large": 500}
+    data = {c: np.round(rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) + 3 * (rng.random((n, 1)) < 0.15) + rng.normal(size=4), 6) for c, n in cells.items()}
+    rows = [(i, 1, c, *map(float, x)) for c, v in data.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, word_chars long, cell string, x0 double, x1 double, x2 double, x3 double")
+    got = {r["cell"]: r for r in robust_fit(df, 0.75).collect()}
+    every = np.concatenate(list(data.values()))
+    low = lambda v: np.sort(v, axis=0)[int(np.ceil(0.5 * len(v))) - 1]
+    centre = low(every)
+    spread = (1.4826 * low(np.abs(every - centre))) ** 2
+    for c, x in data.items():
+        m, s = plain_fit(x, centre, spread)
+        factor = np.linalg.cholesky(s)
+        assert np.allclose([got[c][f"m{i}"] for i in range(4)], m, atol=2e-3), c
+        assert np.allclose([got[c][f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [factor[i, j] for i in range(4) for j in range(i + 1)], atol=5e-3), c
+
+
+def test_small_cells_reject_what_is_far_from_all(spark):
+    rng = random.Random(23)
+    plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(60))
+    rows = [(i, plain(), f"l{i % 40}", "s") for i in range(160)]
+    rows += [(500 + i, " ".join(w + "###" for w in plain().split()), f"l{i}", "s") for i in range(3)] + [(600, plain(), "alone", None)]
+    got = {r.doc_id: r.kept for r in outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[500 + i] for i in range(3)) and got[600] and sum(got[i] for i in range(160)) >= 159
+
+
 def test_empty(spark):
     assert outliers(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
