@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: A task hands at most about this many bytes of text or ids to Spark in one Arrow batch.
 BATCH_BYTES = 8 << 20
-#: Rows of whole texts that Spark hands to a task in one Arrow batch.
-BATCH_ROWS = 2500
+#: Rows of whole texts that Spark hands to a task in one Arrow batch, and about how many bytes at most (one row at least).
+BATCH_ROWS, BATCH_SIZE = 2500, "32m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +62,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Rows of whole texts go to Python in smaller batches than narrow rows could; a setting of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
