@@ -97,12 +97,15 @@ def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True)
 
     Lines that cannot matter are dropped by their text before anything is parsed, and only narrow columns go on. A usage
     record without a text timestamp is no record; one with a malformed timestamp raises an error if strict, and else
-    stays to carry counts on but gives no event.
+    stays to carry counts on but gives no event. If strict, a line that could matter and isn't UTF-8 is an error too.
     """
     lines = lines.select("session_id", "seq", trimmed(F.col("value")).alias("value")).where("value <> ''")
     heads = lines.groupBy("session_id").agg(F.min("seq").alias("head"))
     line = F.col("value")
     kept = lines.where(might_matter(line, strict_markers) | marks_history(line)).withColumn("useful", might_matter(line, strict_markers))
+    if strict:
+        broken = F.col("useful") & ~F.is_valid_utf8("value")
+        kept = kept.withColumn("value", F.when(broken, F.raise_error(F.lit("session log line is not valid UTF-8"))).otherwise(F.col("value")))
     rows = kept.select("session_id", "seq", "useful", F.from_json("value", LINE).alias("j")).join(heads, "session_id")
     kind, payload, message = text(F.col("j.type")), F.col("j.payload"), F.col("j.message")
     rows = rows.select("session_id", "seq", "head", "useful", kind.alias("type"), text(F.col("j.timestamp")).alias("at"), payload.alias("p"), message.alias("m"), text(F.col("j.parentSession")).alias("fork"))

@@ -1,37 +1,64 @@
-"""A store of sums by session, local day and model, refreshed for changed files only.
+"""A store of sums by session, local day and model, refreshed for changed files only, for each time zone by itself.
 
-Every refresh appends one generation: sums of the sessions that it parsed, and manifest rows for them and for removed
-sessions. The manifest is written last, so an unfinished generation is never seen. A reader takes each session's latest
-generation. Nothing is rewritten in place; compact() merges generations into one when there are many.
+Every refresh adds sums and headers of the sessions that it parsed, under a number of its own, and then commits manifest
+rows for them and for removed sessions as the next generation. A commit is a folder moved into place, which fails if
+another refresh took that generation since the manifest was read, so an unfinished or beaten refresh is never seen. A
+reader takes each session's latest generation. Nothing is rewritten in place; compact() merges a store into a new one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions import parse
 from meterloom.functions.formats import month_of
-from meterloom.operators import inventory, reports
+from meterloom.operators import inventory, lineage, reports
 from meterloom.operators.events import usage_events
 from meterloom.schemas import COUNTERS, ReportOptions
 from meterloom.session import checkpointed
-from meterloom.sources.files import session_files
 
 PARSER_VERSION = 1
-MANIFEST = "session_id string, path string, compressed boolean, bytes bigint, mtime timestamp, parsed_bytes bigint, parser_version int, is_valid boolean, removed boolean, events_total bigint, generation int"
+MANIFEST = "session_id string, path string, compressed boolean, bytes bigint, mtime timestamp, parsed_bytes bigint, parser_version int, is_valid boolean, removed boolean, events_total bigint, run string, generation int"
+HEADERS = "session_id string, thread_id string, parent_thread_id string, run string"
+SUMS = "session_id string, local_day date, model string, " + ", ".join(f"{c} bigint" for c in (*COUNTERS, *reports.FALLBACK)) + ", is_fallback boolean, last_activity timestamp, run string"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+class StoreChanged(RuntimeError):
+    """Another refresh committed since this one read the manifest; run it again."""
+
+
+def _path(spark: SparkSession, path: str):
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    fs, jpath = _path(spark, path)
+    if not fs.exists(jpath):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
 
+def _zone(store: str, part: str, tz: str) -> str:
+    return f"{store}/{part}/tz={tz.replace('/', '~')}"
 
-def manifest(spark: SparkSession, store: str) -> DataFrame:
+
+def commit(spark: SparkSession, rows: DataFrame, store: str, tz: str, generation: int) -> None:
+    """Make manifest rows the given generation, unless there is one already."""
+    staged, target = f"{store}/staging/{uuid.uuid4().hex}", f"{_zone(store, 'manifest', tz)}/generation={generation}"
+    rows.write.parquet(staged)
+    fs, goal = _path(spark, target)
+    fs.mkdirs(goal.getParent())
+    if fs.exists(goal) or not fs.rename(_path(spark, staged)[1], goal):
+        raise StoreChanged(target)
+
+
+def manifest(spark: SparkSession, store: str, tz: str = "UTC") -> DataFrame:
     """The latest row of each session that isn't removed."""
-    rows = _read(spark, f"{store}/manifest", MANIFEST)
+    rows = _read(spark, _zone(store, "manifest", tz), MANIFEST)
     latest = rows.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "session_id"]), "generation").alias("m"))
     return latest.select("session_id", "m.*").where(~F.col("removed")).drop("removed")
 
@@ -41,13 +68,19 @@ def day_sums(events: DataFrame, tz: str) -> DataFrame:
     return reports.model_sums(reports.with_local_day(events, options), "session_id", "local_day")
 
 
-SUMS = "session_id string, local_day date, model string, " + ", ".join(f"{c} bigint" for c in (*COUNTERS, *reports.FALLBACK)) + ", is_fallback boolean, last_activity timestamp, generation int"
+def _live(spark: SparkSession, store: str, part: str, schema: str, tz: str) -> DataFrame:
+    live = manifest(spark, store, tz).select("session_id", "run")
+    return _read(spark, _zone(store, part, tz), schema).join(live, ["session_id", "run"]).drop("run")
 
 
-def stored_sums(spark: SparkSession, store: str, tz: str) -> DataFrame:
+def stored_sums(spark: SparkSession, store: str, tz: str = "UTC") -> DataFrame:
     """The sums of each session's latest generation."""
-    live = manifest(spark, store).select("session_id", "generation")
-    return _read(spark, f"{store}/sums/tz={tz.replace('/', '~')}", SUMS).join(live, ["session_id", "generation"]).drop("generation")
+    return _live(spark, store, "sums", SUMS, tz)
+
+
+def stored_roots(spark: SparkSession, store: str, tz: str = "UTC") -> DataFrame:
+    """(session_id, root_id) from the stored headers."""
+    return lineage.root_sessions(_live(spark, store, "headers", HEADERS, tz))
 
 
 def inconsistent(sums: DataFrame, listed: DataFrame) -> DataFrame:
@@ -56,49 +89,63 @@ def inconsistent(sums: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.join(added, "session_id", "left").where(F.coalesce("added", F.lit(0)) != F.col("events_total")).select("session_id")
 
 
-def refresh(spark: SparkSession, lines: DataFrame, store: str, tz: str = "UTC") -> dict[str, int]:
-    """Bring the store up to the selected lines (sources.files.selected_lines); returns sessions by action.
+def refresh(spark: SparkSession, lines: DataFrame, files: DataFrame, store: str, tz: str = "UTC") -> dict[str, int]:
+    """Bring the zone's part of the store up to the selected files and their lines (sources.files); returns sessions by
+    action. Raises StoreChanged if another refresh of the zone came first.
 
     Sessions that are cached and consistent are not read again: their lines are pruned by a join before parsing.
     """
-    files = session_files(lines)
-    listed = manifest(spark, store)
+    listed = manifest(spark, store, tz)
+    base = _read(spark, _zone(store, "manifest", tz), MANIFEST).agg(F.max("generation")).first()[0] or 0
     broken = inconsistent(stored_sums(spark, store, tz), listed).withColumn("broken", F.lit(True))
     known = listed.join(broken, "session_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("broken").isNull())
     plan = inventory.refresh_plan(files, known, PARSER_VERSION).select("session_id", "path", "compressed", "bytes", "mtime", "action")
     plan = checkpointed(plan)
     counts = {r[0]: r[1] for r in plan.groupBy("action").count().collect()}
-    changed = plan.where(F.col("action").isin("append", "rebuild"))
     if not set(counts) & {"append", "rebuild", "removed"}:
         return counts
-    generation = (_read(spark, f"{store}/manifest", MANIFEST).agg(F.max("generation")).first()[0] or 0) + 1
-    events = usage_events(parse.records(lines.join(changed.select("path"), "path", "left_semi"))).where("ts IS NOT NULL")
-    sums = checkpointed(day_sums(events, tz).withColumn("generation", F.lit(generation)))
-    sums.write.mode("append").parquet(f"{store}/sums/tz={tz.replace('/', '~')}")
+    changed = lines.join(plan.where(F.col("action").isin("append", "rebuild")).select("path"), "path", "left_semi")
+    run = uuid.uuid4().hex
+    events = usage_events(parse.records(changed)).where("ts IS NOT NULL")
+    sums = checkpointed(day_sums(events, tz).withColumn("run", F.lit(run)))
+    sums.write.parquet(f"{_zone(store, 'sums', tz)}/run={run}")
+    headers = parse.descriptors(changed).select("session_id", "thread_id", "parent_thread_id", F.lit(run).alias("run"))
+    headers.write.parquet(f"{_zone(store, 'headers', tz)}/run={run}")
     totals = sums.groupBy("session_id").agg(F.sum("total").alias("events_total"))
     rows = plan.where("action <> 'cached'").join(totals, "session_id", "left")
     rows = rows.select(
         "session_id", "path", "compressed", "bytes", "mtime", F.col("bytes").alias("parsed_bytes"), F.lit(PARSER_VERSION).alias("parser_version"), F.lit(True).alias("is_valid"),
-        (F.col("action") == "removed").alias("removed"), F.coalesce("events_total", F.lit(0)).cast("bigint").alias("events_total"), F.lit(generation).alias("generation"),
+        (F.col("action") == "removed").alias("removed"), F.coalesce("events_total", F.lit(0)).cast("bigint").alias("events_total"), F.lit(run).alias("run"), F.lit(base + 1).alias("generation"),
     )
-    rows.write.mode("append").parquet(f"{store}/manifest")
+    commit(spark, rows, store, tz, base + 1)
     return counts
 
 
 def compact(spark: SparkSession, store: str, target: str, tz: str = "UTC") -> None:
-    """Write the live rows of a store as one generation of a new store."""
-    sums, listed = stored_sums(spark, store, tz), manifest(spark, store)
-    sums.withColumn("generation", F.lit(1)).write.parquet(f"{target}/sums/tz={tz.replace('/', '~')}")
-    listed.withColumns({"generation": F.lit(1), "removed": F.lit(False)}).write.parquet(f"{target}/manifest")
-
-
-def stored_report(spark: SparkSession, kind: str, store: str, pricing: DataFrame, options: ReportOptions = ReportOptions(), today=None) -> DataFrame:
-    """A daily or monthly report over stored sums."""
+    """Write the live rows of a zone's part of a store as one generation of a new store."""
+    run = uuid.uuid4().hex
+    for part, schema in (("sums", SUMS), ("headers", HEADERS)):
+        _live(spark, store, part, schema, tz).withColumn("run", F.lit(run)).write.parquet(f"{_zone(target, part, tz)}/run={run}")
+    listed = manifest(spark, store, tz).withColumns({"generation": F.lit(1), "removed": F.lit(False), "run": F.lit(run)})
+    commit(spark, listed, target, tz, 1)
+
+
+def stored_report(
+    spark: SparkSession, kind: str, store: str, pricing: DataFrame, options: ReportOptions = ReportOptions(), today=None, roots: DataFrame | None = None
+) -> DataFrame:
+    """A daily, monthly or session report over stored sums; of sessions by the stored headers, or by given roots."""
+    if options.last_days is not None and kind != "daily":
+        raise ValueError("last_days is for the daily report")
     since, until = options.bounds(today)
     sums = stored_sums(spark, store, options.timezone)
     sums = sums.where(F.col("local_day") >= F.lit(since)) if since else sums
     sums = sums.where(F.col("local_day") <= F.lit(until)) if until else sums
-    key = {"daily": F.col("local_day").alias("date"), "monthly": month_of(F.col("local_day")).alias("month")}[kind]
-    name = "date" if kind == "daily" else "month"
+    if kind == "session":
+        roots = stored_roots(spark, store, options.timezone) if roots is None else roots
+        return reports.session_rows(reports.regroup(sums, "session_id"), pricing, options, roots)
+    keys = {"daily": ("date", F.col("local_day")), "monthly": ("month", month_of(F.col("local_day")))}
+    if kind not in keys:
+        raise ValueError(f"unknown report {kind!r}")
+    name, key = keys[kind]
     rows = reports.priced(reports.regroup(sums.withColumn(name, key), name), pricing, options)
     return reports.by_key(rows, name).drop("last_activity").orderBy(name)

@@ -35,7 +35,7 @@ def preferred_files(files: DataFrame) -> DataFrame:
 
 
 def refresh_plan(files: DataFrame, manifest: DataFrame, parser_version: int = 1) -> DataFrame:
-    """files with action: cached (nothing changed), append (a plain file of the same identity grew), rebuild, or removed
+    """files with action: cached (nothing changed), append (a plain file of the same path grew), rebuild, or removed
     for sessions of the manifest that are gone.
 
     manifest: session_id, path, compressed, bytes, mtime, parsed_bytes, parser_version, is_valid.

@@ -83,9 +83,12 @@ def session_report(events: DataFrame, pricing: DataFrame, options: ReportOptions
     """Sessions by last activity; roots (session_id, root_id) folds spawned sessions into their root ancestors."""
     if options.last_days is not None:
         raise ValueError("last_days is for the daily report")
-    sums = model_sums(with_local_day(events, options), "session_id")
+    return session_rows(model_sums(with_local_day(events, options), "session_id"), pricing, options, roots)
+
+
+def session_rows(sums: DataFrame, pricing: DataFrame, options: ReportOptions, roots: DataFrame | None = None) -> DataFrame:
+    """The session report from sums by session and model. Folding regroups sums, not events."""
     if roots is not None:
-        # sums first: the fold regroups sums, not events
         sums = regroup(sums.join(roots, "session_id", "left").withColumn("session_id", F.coalesce("root_id", "session_id")), "session_id")
     rows = by_key(priced(sums, pricing, options), "session_id")
     shape = rows.withColumns({"directory": directory_of(F.col("session_id")), "session_file": leaf_of(F.col("session_id"))})

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from meterloom.functions import parse
-from meterloom.operators import lineage, reports
+from meterloom.operators import incremental, lineage, reports
 from meterloom.operators.events import usage_events
 from meterloom.operators.pricing import built_in_prices
 from meterloom.schemas import ReportOptions
@@ -21,6 +21,10 @@ def events_of(spark: SparkSession, options: ReportOptions) -> tuple[DataFrame, D
     return usage_events(rows).where("ts IS NOT NULL"), lines
 
 
+def _report(spark: SparkSession, kind: str, rows: DataFrame, options: ReportOptions) -> dict:
+    return {"kind": kind, "rows": rows, "totals": reports.totals(rows), "missing_directories": files.missing_roots(spark, list(options.roots))}
+
+
 def build_report(spark: SparkSession, kind: str, options: ReportOptions, pricing: DataFrame | None = None, today: date | None = None) -> dict:
     """{"kind", "rows", "totals", "missing_directories"} for a daily, monthly or session report; rows and totals are
     DataFrames, evaluated when they are used."""
@@ -31,8 +35,16 @@ def build_report(spark: SparkSession, kind: str, options: ReportOptions, pricing
     elif kind == "monthly":
         rows = reports.monthly_report(events, pricing, options)
     elif kind == "session":
-        roots = lineage.root_sessions(parse.descriptors(lines))
-        rows = reports.session_report(events, pricing, options, roots)
+        rows = reports.session_report(events, pricing, options, lineage.root_sessions(parse.descriptors(lines)))
     else:
         raise ValueError(f"unknown report {kind!r}")
-    return {"kind": kind, "rows": rows, "totals": reports.totals(rows), "missing_directories": files.missing_roots(spark, list(options.roots))}
+    return _report(spark, kind, rows, options)
+
+
+def refreshed_report(spark: SparkSession, kind: str, store: str, options: ReportOptions, pricing: DataFrame | None = None, today: date | None = None) -> dict:
+    """The same over a store of sums, which is first brought up to the files that the options select. A store is for one
+    choice of roots and project."""
+    pricing = built_in_prices(spark) if pricing is None else pricing
+    chosen = files.selected_files(spark, list(options.roots), options.project)
+    incremental.refresh(spark, files.selected_lines(spark, list(options.roots), files=chosen), chosen, store, options.timezone)
+    return _report(spark, kind, incremental.stored_report(spark, kind, store, pricing, options, today), options)

@@ -92,3 +92,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast(usage_type()).alias("last"), F.lit(None).cast(usage_type()).alias("cumulative"), F.when(used, shape).alias("message"),
         F.lit(False).alias("is_spawned"), F.lit(False).alias("is_boundary"), F.when((conv % 3 == 0) & (turn == 0), minutes(F.lit(2))).alias("fork_ts"),
     )
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of events as lines of log files, one file for each session; ts is when a line was written."""
+    r = records(spark, sf_dir)
+    names = dict(zip(COUNTERS, ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"), strict=True))
+    usage = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{k}").alias(v) for k, v in names.items()]))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
+    context = F.struct(at, F.lit("turn_context").alias("type"), F.struct("model").alias("payload"))
+    info = F.struct("model", usage("last").alias("last_token_usage"), usage("cumulative").alias("total_token_usage"))
+    event = F.struct(at, F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), info.alias("info")).alias("payload"))
+    value = F.when(F.col("kind") == "context", F.to_json(context)).otherwise(F.to_json(event))
+    return r.select("session_id", F.lit(0).alias("root_ord"), F.concat("session_id", F.lit(".jsonl")).alias("path"), "seq", value.alias("value"), "ts")
+
+
+def files_of(lines: DataFrame) -> DataFrame:
+    """The files that lines come from, as large and as old as those lines make them."""
+    sizes = lines.groupBy("session_id", "root_ord", "path").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("ts").alias("mtime"))
+    return sizes.select("session_id", "root_ord", "path", F.lit(False).alias("compressed"), "bytes", "mtime")

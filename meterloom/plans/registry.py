@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,12 +167,12 @@ def part_cost(prefix: str) -> str:
     """Cost of a part: of the fallback sums, or of what they leave."""
     v = (lambda c: f"fallback_{c}") if prefix == "fallback" else (lambda c: f"({c} - fallback_{c})")
     cached = f"least({v('cached_input')}, {v('input')})"
-    return f"round((({v('input')} - {cached}) * CAST(pi AS DOUBLE) + {cached} * CAST(pc AS DOUBLE) + {v('output')} * CAST(po AS DOUBLE)) / 1000000, 9)"
+    return f"(({v('input')} - {cached}) * CAST(pi AS DOUBLE) + {cached} * CAST(pc AS DOUBLE) + {v('output')} * CAST(po AS DOUBLE)) / 1000000"
 
 
 @query("daily_model_breakdown", with_events(f"""
 m AS (SELECT {DAY} AS local_day, model, {SUMS}, {_FALLBACK_SUMS}, bool_or(is_fallback) AS is_fallback FROM all_events GROUP BY ALL)
-SELECT m.*, {part_cost('explicit')} AS explicit_cost_usd, {part_cost('fallback')} AS fallback_cost_usd FROM m JOIN prices USING (model)"""))
+SELECT m.*, round({part_cost('explicit')}, 9) AS explicit_cost_usd, round({part_cost('fallback')}, 9) AS fallback_cost_usd FROM m JOIN prices USING (model)"""))
 def daily_model_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = ReportOptions()
     sums = reports.model_sums(reports.with_local_day(b.events(spark, sf_dir), options), "local_day")
@@ -190,10 +191,10 @@ def fallback_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = with_events(f"""
 m AS (SELECT {DAY} AS local_day, model, {SUMS}, {_FALLBACK_SUMS} FROM all_events GROUP BY ALL),
 l AS (
-  SELECT local_day, model AS label, {', '.join(f'{c} - fallback_{c} AS {c}' for c in COUNTERS)} FROM m
-  UNION ALL SELECT local_day, model || ' (fallback)', {', '.join(f'fallback_{c}' for c in COUNTERS)} FROM m),
+  SELECT local_day, model AS label, {', '.join(f'{c} - fallback_{c} AS {c}' for c in COUNTERS)}, {part_cost('explicit')} AS cost FROM m JOIN prices USING (model)
+  UNION ALL SELECT local_day, model || ' (fallback)', {', '.join(f'fallback_{c}' for c in COUNTERS)}, {part_cost('fallback')} FROM m JOIN prices USING (model)),
 v AS (SELECT * FROM l WHERE input > 0 OR cached_input > 0 OR output > 0 OR reasoning_output > 0 OR total > 0)
-SELECT local_day, CASE WHEN grouping(label) = 0 THEN label ELSE 'TOTAL' END AS label, CAST(grouping(local_day) * 2 + grouping(label) AS BIGINT) AS level, {SUMS}
+SELECT local_day, CASE WHEN grouping(label) = 0 THEN label ELSE 'TOTAL' END AS label, CAST(grouping(local_day) * 2 + grouping(label) AS BIGINT) AS level, {SUMS}, round(sum(cost), 9) AS cost_usd
 FROM v GROUP BY GROUPING SETS ((local_day, label), (local_day), ())""")
 
 
@@ -201,7 +202,7 @@ FROM v GROUP BY GROUPING SETS ((local_day, label), (local_day), ())""")
 def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = ReportOptions()
     sums = reports.model_sums(reports.with_local_day(b.events(spark, sf_dir), options), "local_day")
-    return reports.display_rows(reports.priced(sums, b.pricing(spark), options), "local_day").drop("cost_usd")
+    return reports.display_rows(reports.priced(sums, b.pricing(spark), options), "local_day").withColumns(money("cost_usd"))
 
 
 _CANDIDATES = """
@@ -229,13 +230,14 @@ def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("price_override", with_events("""
 a AS (SELECT model, CAST(count(*) AS DOUBLE) AS i FROM all_events GROUP BY model),
-k(model, i) AS (VALUES ('gpt-5', 1.25), ('gpt-5-codex', 1.25), ('gpt-5.2-codex', 1.25))
-SELECT model, CAST(coalesce(a.i, k.i) AS DOUBLE) AS input_cost_per_mtoken FROM a FULL JOIN k USING (model)"""))
+k(model, i, c, o) AS (VALUES ('gpt-5', 1.25, 0.125, 10.0), ('gpt-5-codex', 1.25, 0.125, 10.0), ('gpt-5.2-codex', 1.25, 0.125, 10.0))
+SELECT model, CAST(coalesce(a.i, k.i) AS DOUBLE) AS input_cost_per_mtoken, CAST(coalesce(a.i, k.c) AS DOUBLE) AS cached_input_cost_per_mtoken,
+  CAST(coalesce(a.i, k.o) AS DOUBLE) AS output_cost_per_mtoken FROM a FULL JOIN k USING (model)"""))
 def price_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot prices over built-in ones; the snapshot prices each model that occurs by how often it does."""
     n = F.count("*").cast("double")
     snapshot = b.events(spark, sf_dir).groupBy("model").agg(n.alias("input_cost_per_mtoken"), n.alias("cached_input_cost_per_mtoken"), n.alias("output_cost_per_mtoken"))
-    return merged_prices(snapshot, b.pricing(spark).where("model <> 'openai/gpt-5'")).select("model", "input_cost_per_mtoken")
+    return merged_prices(snapshot, b.pricing(spark).where("model <> 'openai/gpt-5'"))
 
 
 _FILES = """WITH RECURSIVE f AS (
@@ -243,7 +245,7 @@ _FILES = """WITH RECURSIVE f AS (
     CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderdate AS mtime, 'root' || (o_orderkey % 2) || '/c' || o_custkey || '-' || o_orderkey || '.jsonl' AS path FROM orders)"""
 
 
-@query("dedupe_files", _FILES + """,
+_PREFERRED = _FILES + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY root_ord, path) AS k FROM f),
 s AS (
   SELECT session_id, k, root_ord, compressed, bytes, mtime, path FROM o WHERE k = 1
@@ -253,8 +255,10 @@ s AS (
     CASE WHEN p THEN o.mtime ELSE s.mtime END, CASE WHEN p THEN o.path ELSE s.path END
   FROM s JOIN o ON o.session_id = s.session_id AND o.k = s.k + 1,
   LATERAL (SELECT CASE WHEN (o.compressed OR s.compressed) AND o.mtime <> s.mtime THEN o.mtime > s.mtime
-    ELSE o.bytes > s.bytes OR (o.bytes = s.bytes AND (o.mtime > s.mtime OR (o.mtime = s.mtime AND o.path > s.path))) END AS p) AS t)
-SELECT session_id, arg_max(path, k) AS path, arg_max(bytes, k) AS bytes FROM s GROUP BY session_id""")
+    ELSE o.bytes > s.bytes OR (o.bytes = s.bytes AND (o.mtime > s.mtime OR (o.mtime = s.mtime AND o.path > s.path))) END AS p) AS t)"""
+
+
+@query("dedupe_files", _PREFERRED + " SELECT session_id, arg_max(path, k) AS path, arg_max(bytes, k) AS bytes FROM s GROUP BY session_id")
 def dedupe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.preferred_files(b.files(spark, sf_dir)).select("session_id", "path", "bytes")
 
@@ -361,10 +365,11 @@ def burn_history_after_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("burn_by_model", window_sql("2024-01-15 12:10:00", "TIMESTAMP '2024-01-15 11:10:00'", f"""
-, l AS (SELECT model || CASE WHEN is_fallback THEN ' (fallback)' ELSE '' END AS label, {', '.join(COUNTERS)} FROM m WHERE input > 0 OR cached_input > 0 OR output > 0 OR reasoning_output > 0 OR total > 0)
-{' UNION ALL '.join(f"SELECT label, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM l" for c in COUNTERS)}"""))
+, l AS (SELECT model || CASE WHEN is_fallback THEN ' (fallback)' ELSE '' END AS label, {', '.join(COUNTERS)}, round({_COST}, 9) AS cost_usd FROM m JOIN prices USING (model)
+  WHERE input > 0 OR cached_input > 0 OR output > 0 OR reasoning_output > 0 OR total > 0)
+{' UNION ALL '.join(f"SELECT label, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM l" for c in (*COUNTERS, "cost_usd"))}"""))
 def burn_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.burn_by_model(b.events(spark, sf_dir), b.pricing(spark), NOON).where("metric <> 'cost_usd'")
+    return live.burn_by_model(b.events(spark, sf_dir), b.pricing(spark), NOON).withColumns(money("value"))
 
 
 _U = "(1 + abs(value) * 1000 * (event_id % 7 + 1) * power(10, event_id % 9))"
@@ -468,15 +473,28 @@ def manifest(files: DataFrame) -> DataFrame:
     )
 
 
-@query("incremental_plan", _FILES + """,
-b AS (SELECT session_id, arg_max(struct_pack(path := path, compressed := compressed, bytes := bytes), struct_pack(bytes := bytes, mtime := mtime, path := path)) AS f FROM f WHERE NOT compressed GROUP BY session_id),
-n AS (SELECT session_id, f.bytes AS bytes, CAST(substr(session_id, 2) AS BIGINT) AS n FROM b)
-SELECT session_id, CASE WHEN n % 7 = 0 OR n % 11 = 0 OR n % 17 = 0 OR n % 19 = 0 THEN 'rebuild' WHEN n % 3 = 0 THEN CASE WHEN bytes > 0 THEN 'append' ELSE 'cached' END WHEN n % 13 = 0 THEN 'rebuild' ELSE 'cached' END AS action FROM n""")
+@query("incremental_plan", _PREFERRED + """,
+n AS (SELECT session_id, arg_max(bytes, k) AS bytes, arg_max(compressed, k) AS compressed, CAST(substr(session_id, 2) AS BIGINT) AS n FROM s GROUP BY session_id)
+SELECT session_id, CASE WHEN n % 7 = 0 OR n % 11 = 0 OR n % 17 = 0 OR n % 19 = 0 THEN 'rebuild'
+  WHEN n % 3 = 0 THEN CASE WHEN bytes = 0 THEN 'cached' WHEN compressed THEN 'rebuild' ELSE 'append' END WHEN n % 13 = 0 THEN 'rebuild' ELSE 'cached' END AS action FROM n""")
 def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = inventory.preferred_files(b.files(spark, sf_dir).where("NOT compressed"))
+    best = inventory.preferred_files(b.files(spark, sf_dir))
     return inventory.refresh_plan(best, manifest(best)).select("session_id", "action")
 
 
+@query("stored_daily", grouped_sql(DAY))
+def stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily report over a store of sums: log lines of all sessions up to a day are parsed into it, then it is refreshed
+    with what the files gained since."""
+    from meterloom.operators import incremental
+    from meterloom.session import shared_dir
+
+    store, lines = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", b.lines(spark, sf_dir)
+    for known in (lines.where("ts < '2024-01-15'"), lines):
+        incremental.refresh(spark, known, b.files_of(known), store)
+    return flat(incremental.stored_report(spark, "daily", store, b.pricing(spark)), "date")
+
+
 @query("incremental_merge", grouped_sql(DAY))
 def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily report from sums by session and day: those of half the sessions stored, the rest new."""

@@ -7,10 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names. A temporary one is set where it is
+    unset and the session is local; on a cluster it would be a different folder on each machine, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="meterloom-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint, in the folder that spark.checkpoint.dir names; a temporary one is
-    set only where the session has none."""
-    spark: SparkSession = df.sparkSession
+    """df cut from its lineage by a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions.formats import inside, normal_path
@@ -13,6 +14,7 @@ from meterloom.operators.inventory import plain_over_compressed, preferred_files
 
 NAME = r"(?i)\.jsonl(\.zst)?$"
 LINES = "session_id string, root_ord int, path string, seq struct<block_start:bigint,line:bigint>, value string"
+FILES = "session_id string, root_ord int, path string, compressed boolean, bytes bigint, mtime timestamp"
 
 
 def missing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
@@ -27,34 +29,68 @@ def missing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
     return out
 
 
-def lines(spark: SparkSession, roots: list[str], modified_after: str | None = None) -> DataFrame:
-    """Lines of all log files below the roots that exist, with session_id, root_ord, path, seq (file order) and value,
-    and compressed, bytes and mtime of their files. Names are matched in any case; .zst files are decoded by Spark."""
+def _shown(root: str) -> str:
+    return "/" + root.split("://")[-1].split(":", 1)[-1].strip("/")
+
+
+def _plain(path: Column) -> Column:
+    """A path without its scheme."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:/+", "/")
+
+
+def _named(path: Column, root: str) -> tuple[Column, Column]:
+    """(session id, whether the file is compressed) of paths below root."""
+    relative, compressed = F.substring(path, len(_shown(root)) + 2, 1 << 30), F.lower(path).endswith(".zst")
+    plain = F.when(compressed, F.regexp_replace(relative, r"(?i)\.zst$", "")).otherwise(relative)
+    return F.regexp_replace(plain, r"\.jsonl$", ""), compressed
+
+
+def _present(spark: SparkSession, roots: list[str]) -> list[tuple[int, str]]:
     gone = set(missing_roots(spark, roots))
+    return [(order, root) for order, root in enumerate(roots) if root not in gone]
+
+
+def _reader(spark: SparkSession, modified_after: str | None):
+    reader = spark.read.option("recursiveFileLookup", True)
+    return reader.option("modifiedAfter", modified_after) if modified_after else reader
+
+
+def _empty(spark: SparkSession, found: DataFrame, sized: DataFrame) -> DataFrame:
+    """(path, length, modificationTime) of the files that Spark lists but, as they are empty, doesn't read."""
+    names = [(n,) for n in found.inputFiles() if re.search(NAME, n)]
+    listed = spark.createDataFrame(names, "uri string").withColumn("path", _plain(F.url_decode(F.regexp_replace("uri", r"\+", "%2B"))))
+    rows, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
+    for r in listed.join(sized, "path", "left_anti").collect():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(r["uri"]))
+        rows.append((r["path"], 0, path.getFileSystem(conf).getFileStatus(path).getModificationTime()))
+    return spark.createDataFrame(rows, "path string, length bigint, millis bigint").select("path", "length", F.timestamp_millis("millis").alias("modificationTime"))
+
+
+def inventory(spark: SparkSession, roots: list[str], modified_after: str | None = None) -> DataFrame:
+    """(session_id, root_ord, path, compressed, bytes, mtime) of all log files below the roots that exist, empty ones too.
+    Only what the file system says about them is read; modified_after (a timestamp) leaves older files out."""
     parts = []
-    for order, root in enumerate(roots):
-        if root in gone:
-            continue
-        reader = spark.read.option("recursiveFileLookup", True)
-        reader = reader.option("modifiedAfter", modified_after) if modified_after else reader
-        shown = "/" + root.split("://")[-1].split(":", 1)[-1].strip("/")
-        m = F.col("_metadata")
-        path = F.regexp_replace(F.url_decode(F.regexp_replace(m["file_path"], r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
-        relative = F.expr(f"substring({'p'}, {len(shown) + 2})")
-        rows = reader.text(root).select(
-            path.alias("p"), F.struct(m["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("line")).alias("seq"), "value",
-            m["file_size"].alias("bytes"), m["file_modification_time"].alias("mtime"),
-        ).where(F.col("p").rlike(NAME))
-        compressed = F.lower("p").endswith(".zst")
-        plain = F.when(compressed, F.regexp_replace(relative, r"(?i)\.zst$", "")).otherwise(relative)
-        parts.append(rows.select(F.regexp_replace(plain, r"\.jsonl$", "").alias("session_id"), F.lit(order).alias("root_ord"), F.col("p").alias("path"), "seq", "value", compressed.alias("compressed"), "bytes", "mtime"))
-    if not parts:
-        return spark.createDataFrame([], f"{LINES}, compressed boolean, bytes bigint, mtime timestamp")
-    return reduce(DataFrame.unionByName, parts)
+    for order, root in _present(spark, roots):
+        found = _reader(spark, modified_after).format("binaryFile").load(root)
+        sized = found.select(_plain(F.col("path")).alias("path"), "length", "modificationTime")
+        session, compressed = _named(F.col("path"), root)
+        parts.append(sized.unionByName(_empty(spark, found, sized)).where(F.col("path").rlike(NAME)).select(
+            session.alias("session_id"), F.lit(order).alias("root_ord"), "path", compressed.alias("compressed"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"),
+        ))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FILES)
 
 
-def session_files(all_lines: DataFrame) -> DataFrame:
-    return all_lines.select("session_id", "root_ord", "path", "compressed", "bytes", "mtime").distinct()
+def lines(spark: SparkSession, roots: list[str], modified_after: str | None = None) -> DataFrame:
+    """Lines of all log files below the roots that exist, with session_id, root_ord, path, seq (file order) and value.
+    Names are matched in any case; .zst files are decoded by Spark."""
+    parts = []
+    for order, root in _present(spark, roots):
+        m = F.col("_metadata")
+        path = _plain(F.url_decode(F.regexp_replace(m["file_path"], r"\+", "%2B")))
+        seq = F.struct(m["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("line")).alias("seq")
+        rows = _reader(spark, modified_after).text(root).select(path.alias("path"), seq, "value").where(F.col("path").rlike(NAME))
+        parts.append(rows.select(_named(F.col("path"), root)[0].alias("session_id"), F.lit(order).alias("root_ord"), "path", "seq", "value"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINES)
 
 
 def within_project(files: DataFrame, all_lines: DataFrame, project: str) -> DataFrame:
@@ -65,13 +101,18 @@ def within_project(files: DataFrame, all_lines: DataFrame, project: str) -> Data
     return files.join(near, "path", "left_semi")
 
 
-def selected_lines(spark: SparkSession, roots: list[str], project: str | None = None) -> DataFrame:
-    """Lines of one file for each session: plain over compressed in a root, then inside the project, then the preferred
-    copy across roots."""
-    all_lines = lines(spark, roots)
-    files = plain_over_compressed(session_files(all_lines))
-    files = within_project(files, all_lines, project) if project else files
-    return all_lines.join(preferred_files(files).select("path"), "path", "left_semi")
+def selected_files(spark: SparkSession, roots: list[str], project: str | None = None, modified_after: str | None = None) -> DataFrame:
+    """One file for each session: plain over compressed in a root, then inside the project, then the preferred copy across
+    roots."""
+    files = plain_over_compressed(inventory(spark, roots, modified_after))
+    files = within_project(files, lines(spark, roots, modified_after), project) if project else files
+    return preferred_files(files)
+
+
+def selected_lines(spark: SparkSession, roots: list[str], project: str | None = None, files: DataFrame | None = None, modified_after: str | None = None) -> DataFrame:
+    """Lines of the selected files."""
+    files = selected_files(spark, roots, project, modified_after) if files is None else files
+    return lines(spark, roots, modified_after).join(files.select("path"), "path", "left_semi")
 
 
 def find_session(files: DataFrame, session_id: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Spark's own file stream ignores text that is added to a file it has seen. This source keeps, for each file, how many bytes
 were read and a checksum of the start; each micro-batch reads the new byte ranges, one partition a file, up to the last
-newline. A file that shrank or whose start changed is read anew with reset set. Files must lie on a file system that the
-driver and the executors mount alike.
+newline. A file that shrank or whose start changed is read anew with reset set. Offsets count the ticks as well, so that
+time goes on in batches without lines. Files must lie on a file system that the driver and the executors mount alike.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,9 +50,10 @@ class TailReader(DataSourceStreamReader):
     def __init__(self, root: str):
         self.root = root
         self.seen: dict[str, list[int]] = {}
+        self.tick = time.time_ns()
 
     def initialOffset(self) -> dict:
-        return {"files": {}}
+        return {"files": {}, "tick": 0}
 
     def latestOffset(self) -> dict:
         found: dict[str, list[int]] = {}
@@ -66,7 +68,8 @@ class TailReader(DataSourceStreamReader):
                 end = last_newline(path, size, before if same else 0)
                 found[path] = [end, head_sum(path, end)]
         self.seen = found
-        return {"files": found}
+        self.tick += 1
+        return {"files": found, "tick": self.tick}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []

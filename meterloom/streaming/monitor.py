@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meterloom.functions import parse
 from meterloom.operators import live
 from meterloom.operators.events import usage_events
-from meterloom.schemas import ReportOptions
+from meterloom.schemas import EVENTS, ReportOptions
 from meterloom.sources.tail import TailSource
 
 
@@ -33,13 +33,18 @@ def stored_lines(spark: SparkSession, store: str) -> DataFrame:
 
 
 def stored_events(spark: SparkSession, store: str) -> DataFrame:
-    """The latest events of each session."""
+    """The latest events of each session; none for a store without a batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/parsed")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], EVENTS)
     latest = _table(spark, f"{store}/parsed").groupBy("session_id").agg(F.max("batch").alias("batch"))
     return _table(spark, f"{store}/events").join(latest, ["session_id", "batch"]).drop("batch")
 
 
 def apply_batch(batch: DataFrame, number: int, store: str) -> None:
     spark = batch.sparkSession
+    if batch.isEmpty():
+        return
     batch.write.mode("overwrite").parquet(f"{store}/lines/batch={number}")
     touched = spark.read.parquet(f"{store}/lines/batch={number}").select("session_id").distinct()
     lines = stored_lines(spark, store).join(touched, "session_id", "left_semi")
@@ -62,8 +67,9 @@ def start(
     spark: SparkSession, root: str, store: str, pricing: DataFrame, options: ReportOptions = ReportOptions(), every: str = "5 seconds",
     clock: Callable[[], datetime] = lambda: datetime.now(UTC), once: bool = False,
 ) -> StreamingQuery:
-    """Follow the log files below root. Every batch updates the store and writes the snapshot at clock() beside it; between
-    batches snapshot() may be called with a later time. Date bounds make no sense here and are refused."""
+    """Follow the log files below root. Every tick, also one without new lines, updates the store and writes the snapshot
+    at clock() beside it; in between snapshot() may be called with a later time. Date bounds make no sense here and are
+    refused."""
     if options.since or options.until or options.last_days:
         raise ValueError("the monitor takes no date bounds")
     spark.dataSource.register(TailSource)

@@ -6,6 +6,7 @@ import pytest
 
 from meterloom.plans.api import build_report, events_of
 from meterloom.schemas import ReportOptions
+from meterloom.sources.files import inventory, selected_files
 
 
 def usage(i, c, o, r, t=None):
@@ -109,6 +110,40 @@ def test_lossy_records(spark, tmp_path):
         events_of(spark, ReportOptions(roots=(str(tmp_path),), strict=True))[0].collect()
 
 
+def test_invalid_utf8_is_an_error_only_if_strict(spark, tmp_path):
+    good = json.dumps(tokens("2025-09-11T00:00:01Z", usage(1, 0, 0, 0)), separators=(",", ":")).encode()
+    (tmp_path / "s.jsonl").write_bytes(good + b"\n" + good.replace(b"token_count", b"token_count\xff", 1) + b"\n" + b"\xff noise\n" + good.replace(b'"info"', b'"x":"\xff","info"') + b"\n")
+    assert events_of(spark, ReportOptions(roots=(str(tmp_path),)))[0].count() >= 1
+    with pytest.raises(Exception, match="not valid UTF-8"):
+        events_of(spark, ReportOptions(roots=(str(tmp_path),), strict=True))[0].collect()
+
+
+def test_empty_and_compressed_files(spark, tmp_path):
+    import zstandard
+
+    a = tmp_path / "logs"
+    write(a / "p/root.jsonl", meta("t0"), context("gpt-5"), tokens("2025-09-11T00:00:01Z", usage(5, 0, 0, 0)))
+    child = [meta("t1", "t0"), {"type": "inter_agent_communication_metadata"}, tokens("2025-09-11T00:00:02Z", usage(10, 0, 0, 0))]
+    packed = zstandard.compress("".join(json.dumps(x, separators=(",", ":")) + "\n" for x in child).encode())
+    (a / "p/child.JSONL.zst").write_bytes(packed)
+    (a / "p/hidden.jsonl.ZST").write_bytes(packed)
+    (a / "p/hidden.jsonl").write_text("")
+    options = ReportOptions(roots=(str(a),))
+    found = {(r.session_id, r.compressed): r.bytes for r in inventory(spark, [str(a)]).collect()}
+    assert found[("p/hidden", False)] == 0 and len(found) == 4
+    # the empty plain file hides its compressed sibling
+    assert sorted(r.session_id for r in selected_files(spark, [str(a)]).collect()) == ["p/child.JSONL", "p/hidden", "p/root"]
+    assert [(x.session_id, x.total) for x in rows(build_report(spark, "session", options))] == [("p/root", 15)]
+
+
+def test_prices_do_not_compute_events_twice(spark):
+    from meterloom.operators import reports
+    from meterloom.plans import bindings as b
+
+    plan = reports.daily_report(b.events(spark, "/root/testdata/sf0.001"), b.pricing(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") == 1 and len([x for x in plan.split("\n") if x.lstrip(" +-:").startswith("Window [")]) <= 4
+
+
 def test_options():
     with pytest.raises(ValueError):
         ReportOptions(last_days=2, since="20250101")

@@ -2,36 +2,83 @@
 
 from datetime import UTC, datetime
 
+import pytest
+
 from meterloom.operators import incremental, reports
 from meterloom.operators.pricing import built_in_prices
-from meterloom.plans.api import events_of
+from meterloom.plans.api import build_report, events_of, refreshed_report
 from meterloom.schemas import ReportOptions
-from meterloom.sources.files import selected_lines
+from meterloom.sources.files import selected_files, selected_lines
 from meterloom.streaming import monitor
-from tests.test_logs import context, tokens, usage, write
+from tests.test_logs import context, meta, tokens, usage, write
 
 
 def test_refresh_equals_full_run(spark, tmp_path):
     root, store, prices = tmp_path / "logs", str(tmp_path / "store"), built_in_prices(spark)
     write(root / "a.jsonl", context("gpt-5"), tokens("2025-09-11T00:00:01Z", usage(10, 1, 2, 0)))
-    write(root / "b.jsonl", tokens("2025-09-12T00:00:01Z", usage(20, 1, 2, 0)))
-    options = ReportOptions(roots=(str(root),))
+    write(root / "b.jsonl", tokens("2025-09-12T23:30:01Z", usage(20, 1, 2, 0)))
+    zones = ("UTC", "Europe/Warsaw")
 
     def same():
-        full = reports.daily_report(events_of(spark, options)[0], prices).collect()
-        assert incremental.stored_report(spark, "daily", store, prices).collect() == full
+        for tz in zones:
+            options = ReportOptions(roots=(str(root),), timezone=tz)
+            full = reports.daily_report(events_of(spark, options)[0], prices, options).collect()
+            assert incremental.stored_report(spark, "daily", store, prices, options).collect() == full
         return full
 
-    assert incremental.refresh(spark, selected_lines(spark, [str(root)]), store) == {"rebuild": 2}
-    same()
-    assert incremental.refresh(spark, selected_lines(spark, [str(root)]), store) == {"cached": 2}
+    def refreshed():
+        chosen = selected_files(spark, [str(root)])
+        found = [incremental.refresh(spark, selected_lines(spark, [str(root)], files=chosen), chosen, store, tz) for tz in zones]
+        assert found[0] == found[1]
+        return found[0]
+
+    assert refreshed() == {"rebuild": 2}
+    assert [str(r.date) for r in same()] == ["2025-09-11", "2025-09-13"]
+    assert refreshed() == {"cached": 2}
     with open(root / "a.jsonl", "a") as f:
         f.write(__import__("json").dumps(tokens("2025-09-13T00:00:01Z", total=usage(40, 1, 5, 0)), separators=(",", ":")) + "\n")
-    assert incremental.refresh(spark, selected_lines(spark, [str(root)]), store) == {"cached": 1, "append": 1}
-    assert len(same()) == 3
-    (root / "b.jsonl").unlink()
-    assert incremental.refresh(spark, selected_lines(spark, [str(root)]), store) == {"cached": 1, "removed": 1}
+    assert refreshed() == {"cached": 1, "append": 1}
     assert len(same()) == 2
+    (root / "b.jsonl").unlink()
+    assert refreshed() == {"cached": 1, "removed": 1}
+    same()
+    incremental.compact(spark, store, str(tmp_path / "compact"))
+    assert incremental.stored_report(spark, "daily", str(tmp_path / "compact"), prices).collect() == incremental.stored_report(spark, "daily", store, prices).collect()
+
+
+def test_stored_session_report_and_lost_race(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    write(root / "project/parent.jsonl", meta("t0"), context("gpt-5"), tokens("2025-09-11T00:00:01Z", usage(100, 0, 10, 0, 110)))
+    boundary = {"type": "inter_agent_communication_metadata", "payload": {}}
+    write(root / "project/child.jsonl", meta("t1", "t0"), boundary, tokens("2025-09-11T00:00:03Z", usage(20, 0, 2, 0, 22)))
+    options = ReportOptions(roots=(str(root), str(tmp_path / "gone")))
+    got, want = refreshed_report(spark, "session", store, options), build_report(spark, "session", options)
+    assert got["rows"].collect() == want["rows"].collect() and got["rows"].first().total == 132
+    assert got["totals"].collect() == want["totals"].collect() and got["missing_directories"] == [str(tmp_path / "gone")]
+    # another refresh took the next generation
+    rows = spark.createDataFrame([], incremental.MANIFEST)
+    incremental.commit(spark, rows, store, "UTC", 2)
+    with pytest.raises(incremental.StoreChanged):
+        incremental.commit(spark, rows, store, "UTC", 2)
+
+
+def test_broken_sums_are_read_again(spark, tmp_path):
+    root, store, prices = tmp_path / "logs", tmp_path / "store", built_in_prices(spark)
+    write(root / "a.jsonl", tokens("2025-09-11T00:00:01Z", usage(10, 1, 2, 0)))
+    write(root / "b.jsonl", tokens("2025-09-12T00:00:01Z", usage(20, 1, 2, 0)))
+    chosen = selected_files(spark, [str(root)])
+    go = lambda: incremental.refresh(spark, selected_lines(spark, [str(root)], files=chosen), chosen, str(store))
+    assert go() == {"rebuild": 2}
+    for part in store.glob("sums/tz=UTC/run=*"):
+        kept = spark.read.parquet(str(part)).where("session_id = 'a'").collect()
+        spark.createDataFrame(kept, incremental.SUMS).write.mode("overwrite").parquet(str(part))
+    assert go() == {"cached": 1, "rebuild": 1}
+    assert [r.total for r in incremental.stored_report(spark, "daily", str(store), prices).collect()] == [12, 22]
+
+
+def test_snapshot_of_an_empty_store(spark, tmp_path):
+    s = monitor.snapshot(spark, str(tmp_path / "none"), built_in_prices(spark), datetime(2025, 9, 11, 0, 30, tzinfo=UTC), ReportOptions())
+    assert s["totals"].first()["total"] == 0 and s["rates"].first()["total_per_hour"] == 0 and s["models"].count() == 0 and s["history"].count() == 33
 
 
 def test_monitor_follows_files(spark, tmp_path):
@@ -56,3 +103,7 @@ def test_monitor_follows_files(spark, tmp_path):
     assert second["totals"].first()["total"] == 60 and second["rates"].first()["total_per_hour"] == 120
     write(root / "a.jsonl", tokens("2025-09-11T00:25:00Z", usage(1, 0, 1, 0, 2)))
     assert go()["totals"].first()["total"] == 2
+    # a tick without new lines writes its snapshot too
+    written = len(list((tmp_path / "store/snapshot/totals").glob("batch=*")))
+    go()
+    assert len(list((tmp_path / "store/snapshot/totals").glob("batch=*"))) == written + 1
