@@ -26,25 +26,32 @@ CACHED_WORDS, BATCH_ROWS = 40_000, 1000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below TOXIC, after the labels of four fifths of them."""
+    """Documents that score below TOXIC, after the labels of four fifths of them. Repeated rows share their fate; null and
+    empty texts go only if most labelled documents without words are toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(common.id_remainder("doc_id", 5) != 0)
     score = toxicity(F.col("text"), fit_toxicity(docs, labels), spark)["score"]
     return docs.where(score < TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group whose texts are chained by similarities of SIMILAR or more. Null
+    and wordless texts are one group."""
     return one_near_copy(docs, least=SIMILAR)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kinds; null and empty texts stay as they are."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them; those without words use no budget, a null source is a
+    source of its own."""
     return Mixture(docs, entropy=0.98, most_passes=4.0).documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of WINDOW tokens; a null or empty text has its end token alone."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), WINDOW, END_ID, cache_entries=CACHED_WORDS)
