@@ -126,8 +126,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_examples: int = MAX_EXAMPLES) -> LanguageModel:
     """Learn from the rows of docs with a language and a letter in the text: at most max_examples of each language.
 
-    The sample takes rows by a hash of the id and the text, so it doesn't depend on order; one language alone, or none,
-    gives a model without machines.
+    The sample takes rows by a hash of the id and the text, so it doesn't depend on order; repeated rows and copies count
+    as often as they are drawn, and texts are taken whole, however long. One language alone, or none (an empty table),
+    gives a model without machines. Columns of other names don't matter. The driver holds one machine for each pair of
+    families and of languages within one, which grows with the languages, not with the texts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -177,7 +179,8 @@ def _slope(margin: np.ndarray, weight: np.ndarray) -> float:
 
 
 def language(text: Column, model: LanguageModel, spark) -> Column:
-    """struct(lang, score) of a text; und and 0 for a null text, one without letters, or a model without languages."""
+    """struct(lang, score) of a whole text; und and 0 for a null text, one without letters, or a model without languages.
+    Of languages with equal sums of probabilities the first by name is taken; equal texts get equal predictions."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

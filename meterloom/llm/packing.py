@@ -144,8 +144,9 @@ def pack(
     """Cut the concatenated tokens of all documents into windows; one row for each piece of a document in a window.
 
     Returns (id, start, length, doc_tokens, sequence_id, offset, ids): ids are little-endian unsigned 32-bit. A null
-    text counts as empty and has only its end token. Only the last window can hold fewer tokens than window. Repeated
-    rows are packed as often as they occur; an empty table gives an empty result; further columns are ignored.
+    text counts as empty and has only its end token; a very long one is cut into as many windows as it needs. Only the
+    last window can hold fewer tokens than window. Ids may be of any type; repeated rows are packed as often as they
+    occur; an empty table gives an empty result; further columns are ignored.
     """
     rows = tokenised(df, tokenizer_path, end_id, id_col, text_col, cache_entries)
     totals = {r[0]: r[1] for r in rows.groupBy("part").agg(F.sum("n")).collect()}
@@ -156,7 +157,9 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, size = shared.value, 0
         out: list[tuple] = []
+        id_type = None
         for batch in batches:
+            id_type = batch.column("id").type
             for key, ids, n, part, before in zip(*(batch.column(k).to_pylist() for k in ("id", "ids", "n", "part", "before")), strict=True):
                 wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
                 at, first = 0, base[part] + before
@@ -167,14 +170,12 @@ def pack(
                     at += length
                     size += 4 * length + 48
                     if size > BATCH_BYTES:
-                        yield flush(out)
+                        yield flush(out, id_type)
                         out, size = [], 0
         if out:
-            yield flush(out)
+            yield flush(out, id_type)
 
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-
-    def flush(out: list[tuple]) -> pa.RecordBatch:
+    def flush(out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
         arrays = [pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:6]), pa.array(columns[6], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
