@@ -36,14 +36,32 @@ def merged_prices(snapshot: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def save_snapshot(prices: DataFrame, path: str, refreshed_at: int) -> None:
-    prices.withColumn("refreshed_at", F.lit(refreshed_at).cast("bigint")).write.mode("overwrite").parquet(path)
+    """Add a refresh to the snapshots at path. Earlier ones stay, so readers see the old prices or the new, never none."""
+    prices.withColumn("refreshed_at", F.lit(refreshed_at).cast("bigint")).write.mode("append").parquet(path)
+
+
+def stored_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All refreshes at path, none where there is no such folder."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = f"{PRICING}, refreshed_at bigint"
+    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def latest_snapshot(snapshots: DataFrame, now: int, ttl_seconds: int = 86_400) -> DataFrame:
-    """The rows of the latest refresh, with is_stale where it is older than ttl_seconds (or from the future)."""
+    """The rows of the latest refresh, with is_stale where it is older than ttl_seconds; one from the future is fresh."""
     newest = snapshots.agg(F.max("refreshed_at").alias("refreshed_at"))
-    age = F.lit(now) - F.col("refreshed_at")
-    return snapshots.join(newest, "refreshed_at").withColumn("is_stale", (age > ttl_seconds) | (age < 0))
+    stale = (F.lit(now) - F.col("refreshed_at") > ttl_seconds) | (F.col("refreshed_at") < 0)
+    return snapshots.join(newest, "refreshed_at").withColumn("is_stale", stale)
+
+
+def refresh_is_due(snapshots: DataFrame, now: int, ttl_seconds: int = 86_400, offline: bool = False, forced: bool = False) -> bool:
+    """Whether prices should be fetched anew: never offline, else always if forced, without a snapshot or with a stale one."""
+    if offline or forced:
+        return not offline
+    first = latest_snapshot(snapshots, now, ttl_seconds).select("is_stale").first()
+    return first is None or first[0]
 
 
 def _prefix(model: Column) -> Column:
