@@ -3,8 +3,9 @@
 Labelled documents become TF-IDF vectors over all their words, and a text is scored by the k examples of highest cosine.
 The inverse document frequency, counted over all documents, is multiplied by how far the word's odds differ between the
 labels (as in delta TF-IDF, but without sign), since plain TF-IDF ranks by whatever texts have in common. No word is left
-out. The search is exact: an inverted index keeps, for every term and block of examples, the largest weight in the block;
-the blocks of highest bounds are scored first, and of the others those whose bound reaches the k-th best cosine found.
+out. The search is exact: an inverted index keeps the postings of rare terms, and for every common term and block of
+examples its largest weight in the block. Both bound every block; those of highest bounds are scored first, and of the
+others those whose bound reaches the k-th best cosine found.
 Votes are weighted by distance, both labels having the same weight in all, and are calibrated on the examples
 themselves, each scored without itself.
 
@@ -28,7 +29,13 @@ from pyspark.sql import functions as F
 
 from meterloom.llm.common import portions, stored, text_bytes
 
-MAX_EXAMPLES, BLOCK, FIRST_BLOCKS = 6000, 64, 4
+MAX_EXAMPLES, BLOCK = 6000, 64
+#: Blocks of highest bounds that are scored before the others.
+FIRST_BLOCKS = 24
+#: Queries that are searched together.
+TOGETHER = 64
+#: A term is common if one in so many examples has it.
+COMMON = 16
 #: Share of the plain inverse document frequency in the weight of a word whose odds don't differ.
 LEAST_CONTRAST = 0.05
 NEIGHBOURS, PRIOR_WEIGHT, BINS, MEMO_TEXTS = 25, 0.05, 40, 2000
@@ -41,25 +48,18 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(PUNCTUATION).split()
 
 
-def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """start[0]..end[0]-1, start[1]..end[1]-1, ... as one array."""
-    sizes = end - start
-    before = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(start - before, sizes)
-
-
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks. The postings (places, weights) are sorted by term and place; those of one term
-    in one block are an entry. first[t] is term t's first entry, blocks and tops are the block and the largest weight of
-    each entry, cuts where its postings begin."""
+    """Unit vectors of examples in blocks of BLOCK places. The postings (places, weights) of rare terms are sorted by term;
+    starts[t] is where those of t begin. A common term t has row[t] >= 0: dense[b, row] are its weights in block b, and
+    tops[row, b] the largest of them."""
 
-    first: np.ndarray
-    blocks: np.ndarray
-    tops: np.ndarray
-    cuts: np.ndarray
+    starts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
+    row: np.ndarray
+    dense: np.ndarray
+    tops: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
     ids: np.ndarray
@@ -75,76 +75,115 @@ class BlockMaxIndex:
         order = np.lexsort((ids, heavy))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        sort = np.lexsort((place[owner], terms))
-        terms, places, weights = terms[sort].astype(np.int64), place[owner][sort], weights[sort].astype(np.float64)
-        entry = terms * (-(-n // BLOCK)) + places // BLOCK
-        cuts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, np.int64)
-        tops = np.maximum.reduceat(weights, cuts) if len(cuts) else np.zeros(0)
-        first = np.searchsorted(terms[cuts], np.arange(n_terms + 1))
-        return cls(first, (places[cuts] // BLOCK).astype(np.int32), tops, np.append(cuts, len(terms)), places.astype(np.int32), weights, labels[order], votes[order], ids[order])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term, nearest first, ties to the earlier place."""
-        start, end = self.first[terms], self.first[terms + 1]
-        entries, factor = ranges(start, end), np.repeat(weights, end - start)
-        blocks, n_blocks = self.blocks[entries], -(-len(self.ids) // BLOCK)
-        bounds = np.bincount(blocks, factor * self.tops[entries], n_blocks)
-        scores, open_ = np.zeros(len(self.ids)), np.zeros(n_blocks, bool)
+        place, weights = place[owner], weights.astype(np.float32)
+        common = np.bincount(terms, minlength=n_terms) * COMMON >= n
+        row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        blocks, at = -(-n // BLOCK), common[terms]
+        dense = np.zeros((blocks, int(common.sum()), BLOCK), np.float32)
+        dense[place[at] // BLOCK, row[terms[at]], place[at] % BLOCK] = weights[at]
+        tops = dense.max(2).T.copy()
+        terms, place, weights = terms[~at], place[~at], weights[~at]
+        sort = np.lexsort((place, terms))
+        starts = np.searchsorted(terms[sort], np.arange(n_terms + 1)).astype(np.int32)
+        return cls(starts, place[sort].astype(np.uint16 if n <= 1 << 16 else np.int32), weights[sort], row, dense, tops, labels[order], votes[order], ids[order])
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the places and cosines of the k nearest examples that share a term, nearest
+        first, ties (to six digits) to the earlier place."""
+        return [x for at in range(0, len(queries), TOGETHER) for x in self._nearest(queries[at : at + TOGETHER], k)]
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, blocks = len(queries), len(self.dense)
+        scores = np.empty((n, blocks * BLOCK), np.float32)
+        common = np.zeros((n, self.dense.shape[1]), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            rare = row < 0
+            start, end = self.starts[terms[rare]], self.starts[terms[rare] + 1]
+            runs = list(map(slice, start.tolist(), end.tolist()))
+            places = np.concatenate([self.places[r] for r in runs]) if runs else self.places[:0]
+            posted = np.concatenate([self.weights[r] for r in runs]) if runs else self.weights[:0]
+            scores[i] = np.bincount(places, np.repeat(weights[rare].astype(np.float32), end - start) * posted, blocks * BLOCK)
+            common[i, row[~rare]] = weights[~rare]
+        # rare terms count at once; they and the largest weights of the common ones bound what a block can hold
+        bounds = scores.reshape(n, blocks, BLOCK).max(2) + common @ self.tops
+        scored = np.zeros((n, blocks), bool)
 
         def score(chosen: np.ndarray) -> None:
-            at = chosen[blocks]
-            s, e = self.cuts[entries[at]], self.cuts[entries[at] + 1]
-            posts = ranges(s, e)
-            np.add(scores, np.bincount(self.places[posts], np.repeat(factor[at], e - s) * self.weights[posts], len(scores)), out=scores)
-
-        open_[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        score(open_)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = ~open_ & (bounds > 0) & (bounds >= least - 1e-9)
-        if rest.any():
-            score(rest)
-        rounded = np.round(scores, 12)
-        kth = max(np.partition(rounded, -k)[-k], 0.0) if len(rounded) > k else 0.0
-        found = np.flatnonzero((rounded >= kth) & (rounded > 0))
-        found = found[np.lexsort((found, -rounded[found]))][:k]
-        return found, scores[found]
+            for b in np.flatnonzero(chosen.any(0)):
+                asked = np.flatnonzero(chosen[:, b])
+                scores[asked, b * BLOCK : (b + 1) * BLOCK] += common[asked] @ self.dense[b]
+            np.logical_or(scored, chosen, out=scored)
+
+        first = min(FIRST_BLOCKS, blocks)
+        high = np.zeros((n, blocks), bool)
+        np.put_along_axis(high, np.argpartition(-bounds, first - 1, 1)[:, :first], True, 1)
+        score(high)
+        # what is scored so far, in part or whole, is no more than the true cosine
+        least = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] > k else np.zeros(n, np.float32)
+        score(~scored & (bounds > 0) & (bounds >= least[:, None] - 2e-6))
+        out = []
+        for i in range(n):
+            found = np.round(scores[i], 6)
+            least = np.partition(found, -k)[-k] if len(found) > k else 0
+            at = np.flatnonzero((found >= least) & (found > 0))
+            at = at[scored[i, at // BLOCK]]
+            at = at[np.lexsort((at, -found[at]))][:k]
+            out.append((at, found[at].astype(float)))
+        return out
 
 
 @dataclass
 class ToxicityModel:
+    """vocabulary and (weights, index) are large and travel as broadcasts, once each; see packed()."""
+
     vocabulary: dict[bytes, int]
     weights: np.ndarray
     index: BlockMaxIndex | None
     base: float
     none: float
     steps: np.ndarray
+    shared: tuple | None = None
+
+    def packed(self, spark):
+        """A function that gives this model in a task."""
+        sc = spark.sparkContext
+        words, core = self.shared or (sc.broadcast(self.vocabulary), sc.broadcast((self.weights, self.index)))
+        base, none, steps = self.base, self.none, self.steps
+        return lambda: ToxicityModel(words.value, *core.value, base, none, steps)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms, in order, and components of the unit vector of a text's words; empty if no example has one of them."""
-        known = sorted((self.vocabulary[w], n) for w, n in counts.items() if w in self.vocabulary)
-        terms, n = np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], float)
-        raw = (1 + np.log(n)) * self.weights[terms]
+        place = self.vocabulary.get
+        known = [(p, n) for w, n in counts.items() if (p := place(w)) is not None]
+        both = np.array(known, np.int64).reshape(-1, 2)
+        both = both[both[:, 0].argsort()]
+        terms = both[:, 0]
+        raw = (1 + np.log(both[:, 1])) * self.weights[terms]
         return terms, raw / (math.sqrt(float(raw @ raw)) or 1.0)
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, own: int | None = None) -> tuple[float, list[tuple]]:
-        """Weighted share of toxic neighbours and the neighbours; own: the id of an example to leave out."""
-        if not len(terms) or self.index is None:
-            return self.none, []
-        at, cosines = self.index.nearest(terms, weights, NEIGHBOURS + (own is not None))
-        if own is not None:
-            other = self.index.ids[at] != own
-            at, cosines = at[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]
-        near = cosines / (1.05 - np.minimum(cosines, 1.0)) * self.index.votes[at]
-        toxic = self.index.labels[at] == 1
-        yes, every = float(near[toxic].sum()), float(near.sum())
-        evidence = [(int(self.index.ids[p]), int(self.index.labels[p]), float(c)) for p, c in zip(at, cosines, strict=True)]
-        return (yes + PRIOR_WEIGHT * 0.5) / (every + PRIOR_WEIGHT), evidence
-
-    def score(self, counts: Counter) -> tuple[float, list[tuple]]:
-        vote, evidence = self.vote(*self.vector(counts))
-        if not evidence:
-            return self.none, []
-        return min(1.0, max(0.0, float(np.interp(vote * BINS, np.arange(BINS) + 0.5, self.steps)))), evidence
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> list[tuple[float, list[tuple]]]:
+        """For each vector the weighted share of toxic neighbours and the neighbours; own: ids of examples to leave out."""
+        out = []
+        near = self.index.nearest(vectors, NEIGHBOURS + (own is not None)) if self.index else [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        for i, (at, cosines) in enumerate(near):
+            if own is not None:
+                other = self.index.ids[at] != own[i]
+                at, cosines = at[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]
+            if not len(at):
+                out.append((self.none, []))
+                continue
+            weight = cosines / (1.05 - np.minimum(cosines, 1.0)) * self.index.votes[at]
+            yes, every = float(weight[self.index.labels[at] == 1].sum()), float(weight.sum())
+            evidence = list(zip(self.index.ids[at].tolist(), self.index.labels[at].tolist(), cosines.tolist(), strict=True))
+            out.append(((yes + PRIOR_WEIGHT * 0.5) / (every + PRIOR_WEIGHT), evidence))
+        return out
+
+    def scores(self, counts: list[Counter]) -> list[tuple[float, list[tuple]]]:
+        """Calibrated score and neighbours of each text's words."""
+        found = self.votes([self.vector(c) for c in counts])
+        place = np.arange(BINS) + 0.5
+        return [(min(1.0, max(0.0, float(np.interp(v * BINS, place, self.steps)))) if near else self.none, near) for v, near in found]
 
 
 def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -178,7 +217,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = [Counter(terms_of(t)) for t in text_bytes(batch.column("text"))]
         words = pa.array([[w.decode("latin-1") for w in c] for c in counted], pa.list_(pa.string()))
         counts = pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "label", "weight")], words, counts], ["id", "label", "weight", "words", "counts"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "same", "label", "weight")], words, counts], ["id", "same", "label", "weight", "words", "counts"])
 
 
 def fit_toxicity(
@@ -200,7 +239,9 @@ def fit_toxicity(
     sample = stored(draw(stored(candidates), max_examples))
     # at most two times max_examples rows, hence the broadcast; an id may have several texts
     picked = source.withColumn("same", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(sample), ["id", "same"])
-    examples = stored(picked.mapInArrow(_terms, "id long, label int, weight double, words array<string>, counts array<int>").dropDuplicates(["id", "words"]))
+    examples = stored(picked.mapInArrow(_terms, "id long, same long, label int, weight double, words array<string>, counts array<int>"))
+    if not examples.groupBy("id", "same", "label").count().where("count > 1").isEmpty():
+        examples = stored(examples.dropDuplicates(["id", "same", "label"]))
     shares = {r[0]: (r[1], r[2]) for r in examples.groupBy("label").agg(F.sum("weight"), F.count("*")).collect()}
     toxic, clean = shares.get(1, (0.0, 0)), shares.get(0, (0.0, 0))
     base = toxic[0] / max(toxic[0] + clean[0], 1e-9)
@@ -227,18 +268,22 @@ def fit_toxicity(
     df = np.zeros(len(vocabulary) + 1)
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     weights = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (contrast + LEAST_CONTRAST)
-    return _index(examples, ToxicityModel(vocabulary, weights, None, base, base, np.full(BINS, base)))
+    return _index(examples, ToxicityModel(vocabulary, weights, None, base, base, np.full(BINS, base)), words)
 
 
-def _index(examples: DataFrame, model: ToxicityModel) -> ToxicityModel:
-    """Add the index over the examples, and the calibration from their votes without themselves."""
+def _index(examples: DataFrame, model: ToxicityModel, words) -> ToxicityModel:
+    """Add the index over the examples, and the calibration from their votes without themselves; words: the vocabulary
+    as a broadcast."""
     sc = examples.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    core = sc.broadcast((model.weights, None))
+    model.shared = (words, core)
+    given = model.packed(examples.sparkSession)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given()
         for batch in batches:
             counts = zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)
-            found = [shared.value.vector(Counter(dict(zip([x.encode("latin-1") for x in w], n, strict=True)))) for w, n in counts]
+            found = [model.vector(Counter(dict(zip([x.encode("latin-1") for x in w], n, strict=True)))) for w, n in counts]
             blobs = [pa.array([f[i].astype(t).tobytes() for f in found], pa.binary()) for i, t in ((0, np.int32), (1, np.float32))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "label", "weight")], *blobs], ["id", "label", "weight", "terms", "weights"])
 
@@ -253,18 +298,20 @@ def _index(examples: DataFrame, model: ToxicityModel) -> ToxicityModel:
     owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     votes = weight / np.where(label == 1, weight[label == 1].sum(), weight[label == 0].sum()) * len(label)
     model.index = BlockMaxIndex.build(owner, np.concatenate(terms), np.concatenate(weights), label, votes, rows.column("id").to_numpy(), len(model.vocabulary))
-    scored = sc.broadcast(model)
+    # the vectors are stored, so no task asks for their broadcast again
+    core.destroy()
+    model.shared = (words, sc.broadcast((model.weights, model.index)))
+    given_all = model.packed(examples.sparkSession)
 
     def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given_all()
         for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("id", "label", "weight", "terms", "weights"))
-            for own, y, w, t, x in zip(*columns, strict=True):
-                if t:
-                    vote, _ = scored.value.vote(np.frombuffer(t, np.int32), np.frombuffer(x, np.float32).astype(float), own)
-                    out.append((min(BINS - 1, int(vote * BINS)), y, w))
-            bins, ys, ws = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(ys, pa.int32()), pa.array(ws, pa.float64())], ["bin", "label", "weight"])
+            own, label, weight, terms, values = (batch.column(c).to_pylist() for c in ("id", "label", "weight", "terms", "weights"))
+            rows = [i for i, t in enumerate(terms) if t]
+            found = model.votes([(np.frombuffer(terms[i], np.int32), np.frombuffer(values[i], np.float32).astype(float)) for i in rows], [own[i] for i in rows])
+            bins = [min(BINS - 1, int(v * BINS)) for v, _ in found]
+            arrays = [pa.array(bins, pa.int32()), pa.array([label[i] for i in rows], pa.int32()), pa.array([weight[i] for i in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["bin", "label", "weight"])
 
     spread = table.repartition(16, F.xxhash64("id"))
     seen = np.zeros((2, BINS))
@@ -279,21 +326,21 @@ def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
     """score (0 to 1) and evidence, the nearest examples (id, label, cosine; of equal ones those first in the index), of a
     text. Null, empty and unknown texts share the score of examples without words and have no evidence; long texts are
     taken whole."""
-    shared = spark.sparkContext.broadcast(model)
+    given = model.packed(spark)
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, tuple] = {}
+        model, kept = given(), {}
         for part in texts:
-            out = []
-            for t in part:
-                key = hash(t)
-                if key not in kept or kept[key][0] != len(t or ""):
-                    if len(kept) >= MEMO_TEXTS:
-                        kept.clear()
-                    score, evidence = shared.value.score(Counter(terms_of(t.encode() if t else b"")))
-                    kept[key] = (len(t or ""), (score, [{"id": i, "label": y, "cosine": c} for i, y, c in evidence]))
-                out.append(kept[key][1])
-            yield pd.DataFrame(out, columns=["score", "evidence"])
+            if len(kept) > MEMO_TEXTS:
+                kept.clear()
+            keys = [(hash(t), len(t or "")) for t in part]
+            new = {key: t for key, t in zip(keys, part, strict=True) if key not in kept}
+            names = list(new)
+            for at in range(0, len(names), TOGETHER):
+                some = names[at : at + TOGETHER]
+                found = model.scores([Counter(terms_of(new[key].encode() if new[key] else b"")) for key in some])
+                kept.update({key: (score, [{"id": i, "label": y, "cosine": c} for i, y, c in near]) for key, (score, near) in zip(some, found, strict=True)})
+            yield pd.DataFrame([kept[key] for key in keys], columns=["score", "evidence"])
 
     return scored(text.cast("string"))
