@@ -31,7 +31,8 @@ SPAN_FIELDS = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", p
 BINS = 400
 #: Combined p-value below which a token isn't random in its encoding.
 RANDOM_ALPHA = 0.005
-#: Least unevenness of characters that aren't random: chi-squared grows by as much for each of them.
+#: Least unevenness of characters that aren't random (chi-squared grows by as much for each of them): that of half the
+#: alphabet, all in equal shares.
 LEAST_UNEVENNESS = 1.0
 #: Shortest token, and length beyond which weight doesn't grow.
 MIN_LENGTH, FULL_LENGTH = 20, 128
@@ -74,13 +75,9 @@ def upper_tail(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2))
 
 
-def chi2_upper(x: float, k: float, shift: float = 0.0) -> float:
-    """Upper tail of chi-squared with k degrees of freedom and noncentrality shift (Sankaran's normal approximation)."""
-    m, s = k + shift, k + 2 * shift
-    h = 1 - 2 * m * (k + 3 * shift) / (3 * s * s)
-    p, c = s / (m * m), (h - 1) * (1 - 3 * h)
-    mean = 1 + h * p * (h - 1 - 0.5 * (2 - h) * c * p)
-    return upper_tail(((max(x, 1e-9) / m) ** h - mean) / (h * math.sqrt(2 * p) * (1 + 0.5 * c * p)))
+def chi2_upper(x: float, k: float) -> float:
+    """Upper tail of chi-squared with k degrees of freedom (Wilson and Hilferty's normal approximation)."""
+    return upper_tail(((max(x, 1e-9) / k) ** (1 / 3) - 1 + 2 / (9 * k)) / math.sqrt(2 / (9 * k)))
 
 
 def battery(body: str, alphabet: int) -> tuple[float, float]:
@@ -109,6 +106,15 @@ def battery(body: str, alphabet: int) -> tuple[float, float]:
     return stat, math.exp(-half) * (1 + half + half * half / 2)
 
 
+def evenness(stat: float, n: int, size: int, squares: float, cubes: float) -> float:
+    """The probability that n characters of an alphabet of the given size, drawn with shares whose squares and cubes have
+    these sums, have a chi-squared of stat or less: a scaled chi-squared with the true mean and variance."""
+    mean = size * (1 + (n - 1) * squares) - n
+    spread = 2 * size * size * (n - 1) / n * (squares + 2 * (n - 2) * cubes - (2 * n - 3) * squares * squares)
+    free = 2 * mean * mean / spread
+    return 1 - chi2_upper(stat * free / mean, free)
+
+
 def spans_of(text: str) -> list[tuple]:
     """Spans as SPANS: those of the fixed patterns (alphabet -1), then the candidates; covered ones overlap a fixed one."""
     base = base_spans(text)
@@ -131,30 +137,32 @@ def spans_of(text: str) -> list[tuple]:
 
 @dataclass
 class Family:
-    """What all candidates of a corpus say about one: their number and mean weight, the unevenness of each alphabet in
-    the corpus, and the least bin of evidence that is a discovery."""
+    """What all candidates of a corpus say about one: their number and mean weight, the sums of the squares and cubes of
+    the characters' shares in each alphabet, and the least bin of evidence that is a discovery."""
 
     total: int
     mean: float
-    uneven: list[float]
+    uneven: list[tuple[float, float]]
     least: int = BINS
 
     def level(self, alphabet: int, n: int, stat: float, random_p: float) -> int:
         """The bin of evidence of a candidate."""
         if random_p < RANDOM_ALPHA:
             return 0
-        p = 1 - chi2_upper(stat, len(_SETS[alphabet][1]) - 1, self.uneven[alphabet] * n)
+        p = evenness(stat, n, len(_SETS[alphabet][1]), *self.uneven[alphabet])
         weighted = max(p, 1e-300) * self.mean / min(n, FULL_LENGTH)
         return min(BINS - 1, max(0, int(-10 * math.log10(min(weighted, 1.0)))))
 
 
-def unevenness(counts: np.ndarray) -> list[float]:
-    """For each alphabet, its size times the chance that two of the corpus' characters in it are equal, less one;
-    counts: by byte."""
+def unevenness(counts: np.ndarray) -> list[tuple[float, float]]:
+    """For each alphabet the sums of the squares and of the cubes of its characters' shares, as far as these are less even
+    than LEAST_UNEVENNESS; counts: by byte."""
     out = []
     for _, alphabet in ENCODINGS:
-        n = counts[[ord(c) for c in alphabet]].astype(float) + 1
-        out.append(max(LEAST_UNEVENNESS, len(alphabet) * float(((n / n.sum()) ** 2).sum()) - 1))
+        size, n = len(alphabet), counts[[ord(c) for c in alphabet]].astype(float) + 1
+        share = n / n.sum()
+        squares = float((share**2).sum())
+        out.append((squares, float((share**3).sum())) if size * squares - 1 > LEAST_UNEVENNESS else (2 / size, 4 / size**2))
     return out
 
 
