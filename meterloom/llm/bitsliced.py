@@ -27,15 +27,15 @@ MACHINE_SIZE = float(1 << 61)
 LOW_BITS = 62
 
 
-def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, q array<double>) of the vectors that take part: not null, every component present and finite. The components
+def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str, *more: Column) -> DataFrame:
+    """(id, q array<double>, and more columns) of the vectors that take part: not null, every component present and finite. The components
     of q are whole numbers, which doubles hold exactly whatever their size."""
     v = F.col(vector_col)
     scaled = lambda x: F.lit(float(scale)) * x.cast("double")
     whole = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < float(1 << 53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     finite = lambda x: ~F.isnan(x.cast("double")) & (F.abs(scaled(x)) < float("inf"))
     ok = v.isNotNull() & F.forall(v, lambda x: F.when(x.isNull(), False).otherwise(finite(x)))
-    return vectors.where(F.col(id_col).isNotNull()).where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("q"))
+    return vectors.where(F.col(id_col).isNotNull()).where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("q"), *more)
 
 
 def integers(values: np.ndarray) -> np.ndarray:

@@ -19,14 +19,35 @@ BATCH_BYTES = 8 << 20
 BATCH_ROWS, BATCH_SIZE = 2500, "32m"
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def scratch_path(spark: SparkSession) -> str:
+    """A new place for a table in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost
     executor costs only the tasks that reread it."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, codec: str = "zstd") -> DataFrame:
+    """stored(), in as many buckets of the column as there are shuffle partitions: joins on it don't move the table."""
+    spark, name = df.sparkSession, f"meterloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", codec).option("path", scratch_path(spark)).bucketBy(n, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, only the name goes
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later step reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -10,11 +10,14 @@ from meterloom.llm.bitsliced import top_k
 from meterloom.llm.language import fit_language, language
 from meterloom.llm.mixing_lm import score_texts
 from meterloom.llm.mixture import Mixture
+from meterloom.llm.negatives import hard_negatives
 from meterloom.llm.packing import pack
 from meterloom.llm.quality import outliers
+from meterloom.llm.ranked import search
 from meterloom.llm.secrets import find_secrets
 from meterloom.llm.sharding import shard
 from meterloom.llm.simhash import near_duplicates
+from meterloom.llm.suffixes import repeated_spans
 from meterloom.llm.toxicity import fit_toxicity, toxicity
 
 
@@ -111,6 +114,60 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur again, removed from all documents."""
+    found = repeated_spans(common.table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; one label in seven is moved on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=5, window=(80, 100), scale=256)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+c AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM terms WHERE len(t) > 0),
+o AS (SELECT doc_id, len(t) AS size, unnest(t) AS term FROM terms),
+tf AS (SELECT doc_id, size, term, count(*) AS tf FROM o GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c WHERE term IN (SELECT term FROM q) GROUP BY term, n),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
@@ -122,5 +179,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_suffixes": op11_suffixes,
+    "op12_negatives": op12_negatives,
+    "op13_ranked": op13_ranked,
 }
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op12_negatives": OP12_SQL, "op13_ranked": OP13_SQL}
