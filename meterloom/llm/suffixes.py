@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from meterloom.llm.common import bucketed, discard, portions, scratch_path, smal
 
 #: A block holds about so many bytes of text (or one text); texts are hashed in segments of so many bytes.
 BLOCK_BYTES, SEGMENT_BYTES = 1 << 20, 1 << 19
-#: Entries of a run, of a page of it, and of a range (about).
-RUN_ENTRIES, PAGE_ENTRIES, RANGE_ENTRIES = 150_000, 4096, 100_000
+#: Entries of a run, of a page of it, and of a range (about); ranges that keys of one gram may fill before they are split.
+RUN_ENTRIES, PAGE_ENTRIES, RANGE_ENTRIES, GRAM_RANGES = 120_000, 4096, 60_000, 5
 
 
 def squeezed(data: bytes) -> bytes:
@@ -260,11 +260,13 @@ def limits_of(heads: list[bytes], gram: int) -> list[bytes]:
     """Limits of ranges from the least heads of the parts of a range partitioning: cut before the end of the gram, so
     that keys of one gram stay together, unless the limit before lies in the same gram."""
     limits: list[bytes] = []
+    inside = 0
     for head in sorted(heads)[1:]:
         short = head[: gram - 1]
-        if not limits or short > limits[-1]:
+        inside = inside + 1 if limits and short <= limits[-1] else 0
+        if not inside:
             limits.append(short)
-        elif head > limits[-1]:
+        elif inside % GRAM_RANGES == 0 and head > limits[-1]:
             limits.append(head)
     return limits
 
@@ -374,6 +376,7 @@ def _merge(limits: list[bytes], length: int, gram: int):
         stream = lambda run, own: ((*row, run, p["first"] + i) for p in own for i, row in enumerate(page_rows(p["body"], p["n"], p["size"])))
         rows = list(merged([_front(stream(run, own)) for run, own in pages.items()]))
         keys, shared, after, counts, runs, entries = map(list, zip(*rows, strict=True))
+        del rows
         shared, after, counts = np.array(shared), np.array(after), np.array(counts)
         shared[0] = 0
         found = repeats(keys, shared, after, counts, length, gram)
@@ -382,11 +385,10 @@ def _merge(limits: list[bytes], length: int, gram: int):
         high = np.nonzero(edges == -1)[1] - 1
         runs, entries = np.array(runs), np.array(entries, np.int32)
         yield _judgement(runs[e], entries[e], low, high, [None] * len(e), [0] * len(e))
-        far = list(reaching(keys, shared, after, limits[part - 1] if part else None, limits[part] if part < len(limits) else None, length, gram))
-        for at in range(0, len(far), 10_000):
-            es = [x[0] for x in far[at : at + 10_000]]
-            ds = [x[1] for x in far[at : at + 10_000]]
-            yield _judgement(runs[es], entries[es], ds, ds, [hashlib.blake2b(x[2], digest_size=16).digest() for x in far[at : at + 10_000]], counts[es])
+        far = reaching(keys, shared, after, limits[part - 1] if part else None, limits[part] if part < len(limits) else None, length, gram)
+        while chunk := list(islice(far, 10_000)):
+            es, ds = [e for e, *_ in chunk], [d for _, d, _ in chunk]
+            yield _judgement(runs[es], entries[es], ds, ds, [hashlib.blake2b(x, digest_size=16).digest() for *_, x in chunk], counts[es])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pages = None, {}

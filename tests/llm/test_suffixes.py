@@ -38,7 +38,7 @@ def corpus(seed, copies=6):
 
 @pytest.mark.parametrize("length, gram, ranges", [(20, 8, 10**6), (20, 8, 40), (12, 3, 30), (9, 9, 50), (7, 1, 200)])
 def test_equals_brute_force(spark, monkeypatch, length, gram, ranges):
-    for name, value in (("BLOCK_BYTES", 700), ("SEGMENT_BYTES", 150), ("RUN_ENTRIES", 60), ("PAGE_ENTRIES", 7), ("RANGE_ENTRIES", ranges)):
+    for name, value in (("BLOCK_BYTES", 700), ("SEGMENT_BYTES", 150), ("RUN_ENTRIES", 60), ("PAGE_ENTRIES", 7), ("RANGE_ENTRIES", ranges), ("GRAM_RANGES", 1)):
         monkeypatch.setattr(suffixes, name, value)
     texts = corpus(length)
     df = spark.createDataFrame([(str(i), t, 1, "x") for i, t in enumerate(texts)], "doc_id string, text string, block int, spans string").repartition(5)
