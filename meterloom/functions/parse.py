@@ -92,6 +92,17 @@ def _message(u: Column) -> Column:
     return F.when(u.isNotNull(), F.struct(*[v.alias(c) for v, c in zip(values, COUNTERS, strict=True)]))
 
 
+def _kept(lines: DataFrame, strict: bool, strict_markers: bool, *more: str, always: Column | None = None) -> DataFrame:
+    """The trimmed lines that can matter by their text, with useful (all but headers and boundaries) and parsed JSON."""
+    line = F.col("value")
+    matters = might_matter(line, strict_markers) | marks_history(line)
+    kept = lines.where(matters if always is None else matters | always).withColumn("useful", might_matter(line, strict_markers))
+    if strict:
+        broken = F.col("useful") & ~F.is_valid_utf8("value")
+        kept = kept.withColumn("value", F.when(broken, F.raise_error(F.lit("session log line is not valid UTF-8"))).otherwise(F.col("value")))
+    return kept.select("session_id", "seq", "useful", F.from_json("value", LINE).alias("j"), *more)
+
+
 def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True) -> DataFrame:
     """Records (schemas.RECORDS) of lines (session_id, seq, value); seq may be of any type that orders a session's lines.
 
@@ -100,15 +111,22 @@ def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True)
     stays to carry counts on but gives no event. If strict, a line that could matter and isn't UTF-8 is an error too.
     """
     lines = lines.select("session_id", "seq", trimmed(F.col("value")).alias("value")).where("value <> ''")
-    heads = lines.groupBy("session_id").agg(F.min("seq").alias("head"))
-    line = F.col("value")
-    kept = lines.where(might_matter(line, strict_markers) | marks_history(line)).withColumn("useful", might_matter(line, strict_markers))
-    if strict:
-        broken = F.col("useful") & ~F.is_valid_utf8("value")
-        kept = kept.withColumn("value", F.when(broken, F.raise_error(F.lit("session log line is not valid UTF-8"))).otherwise(F.col("value")))
-    rows = kept.select("session_id", "seq", "useful", F.from_json("value", LINE).alias("j")).join(heads, "session_id")
+    heads = lines.groupBy("session_id").agg(F.min("seq").alias("first"))
+    rows = _kept(lines, strict, strict_markers).join(heads, "session_id").withColumn("head", F.col("seq") == F.col("first"))
+    return _records(rows, strict)
+
+
+def line_records(lines: DataFrame, strict: bool = False, strict_markers: bool = True, keep: tuple[str, ...] = (), always: Column | None = None) -> DataFrame:
+    """The same, and the columns to keep, of lines that say themselves whether they are the first of their session that
+    isn't blank (head): line by line, so that streams and parts of files can be parsed. Lines for which always holds give
+    a record whatever their text."""
+    lines = lines.withColumn("value", trimmed(F.col("value")))
+    return _records(_kept(lines, strict, strict_markers, "head", *keep, always=always), strict, *keep)
+
+
+def _records(rows: DataFrame, strict: bool, *keep: str) -> DataFrame:
     kind, payload, message = text(F.col("j.type")), F.col("j.payload"), F.col("j.message")
-    rows = rows.select("session_id", "seq", "head", "useful", kind.alias("type"), text(F.col("j.timestamp")).alias("at"), payload.alias("p"), message.alias("m"), text(F.col("j.parentSession")).alias("fork"))
+    rows = rows.select("session_id", "seq", "head", "useful", *keep, kind.alias("type"), text(F.col("j.timestamp")).alias("at"), payload.alias("p"), message.alias("m"), text(F.col("j.parentSession")).alias("fork"))
     token = F.col("useful") & (F.col("type") == EVENT) & (text(F.col("p.type")) == TOKENS) & F.col("at").isNotNull()
     said = F.col("useful") & (F.col("type") == MESSAGE) & (text(F.col("m.role")) == "assistant") & (text(F.col("m.provider")) == PROVIDER) & F.col("at").isNotNull()
     named = F.nullif(F.trim(text(F.col("m.model"))), F.lit(""))
@@ -128,9 +146,9 @@ def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True)
         F.when(F.col("kind") == "usage", _usage(pick("last_token_usage"))).alias("last"),
         F.when(F.col("kind") == "usage", _usage(pick("total_token_usage"))).alias("cumulative"),
         F.when(F.col("kind") == "message", _message(F.col("m.usage"))).alias("message"),
-        ((F.col("seq") == F.col("head")) & (F.col("type") == META) & text(parent).isNotNull()).alias("is_spawned"),
+        (F.col("head") & (F.col("type") == META) & text(parent).isNotNull()).alias("is_spawned"),
         F.coalesce(F.col("type") == BOUNDARY, F.lit(False)).alias("is_boundary"),
-        F.when((F.col("type") == SESSION) & F.col("fork").isNotNull(), instant(F.col("at"))).alias("fork_ts"),
+        F.when((F.col("type") == SESSION) & F.col("fork").isNotNull(), instant(F.col("at"))).alias("fork_ts"), *keep,
     )
 
 

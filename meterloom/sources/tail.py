@@ -1,22 +1,22 @@
 """A stream of the lines that are appended to log files.
 
 Spark's own file stream ignores text that is added to a file it has seen. This source keeps, for each file, how many bytes
-were read and a checksum of the start; each micro-batch reads the new byte ranges, one partition a file, up to the last
-newline. A file that shrank or whose start changed is read anew with reset set. Offsets count the ticks as well, so that
-time goes on in batches without lines. Files must lie on a file system that the driver and the executors mount alike.
+were read and a digest of their first and last 4 KiB; each micro-batch reads the new byte ranges, one partition a file, up
+to the last whole line. A file that shrank or whose start changed is read anew, its lines with reset set, after a row
+without text that says so. Offsets count the ticks as well, so that time goes on in batches without lines. Files must lie
+on a file system that the driver and the executors mount alike.
 """
 
 from __future__ import annotations
 
 import os
 import time
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-HEAD = 4096
+from meterloom.sources.ranges import first_text, lines_between, prefix_digest, whole_lines
 
 
 @dataclass
@@ -27,46 +27,31 @@ class FileRange(InputPartition):
     reset: bool
 
 
-def head_sum(path: str, size: int) -> int:
-    with open(path, "rb") as f:
-        return zlib.crc32(f.read(min(size, HEAD)))
-
-
-def last_newline(path: str, size: int, floor: int, step: int = 1 << 16) -> int:
-    """The end of the last whole line, floor if none ends after it."""
-    with open(path, "rb") as f:
-        end = size
-        while end > floor:
-            start = max(floor, end - step)
-            f.seek(start)
-            at = f.read(end - start).rfind(b"\n")
-            if at >= 0:
-                return start + at + 1
-            end = start
-    return floor
+def unchanged(path: str, size: int, done: int, digest: str) -> bool:
+    """Whether the first done bytes, of which digest is kept, are still there."""
+    return done == 0 or (size >= done and prefix_digest(path, done) == digest)
 
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, root: str):
         self.root = root
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, list] = {}
         self.tick = time.time_ns()
 
     def initialOffset(self) -> dict:
         return {"files": {}, "tick": 0}
 
     def latestOffset(self) -> dict:
-        found: dict[str, list[int]] = {}
+        found: dict[str, list] = {}
         for folder, _, names in os.walk(self.root):
             for name in names:
                 path = os.path.join(folder, name)
                 if not name.lower().endswith(".jsonl") or os.path.islink(path):
                     continue
                 size = os.path.getsize(path)
-                before, start = self.seen.get(path, [0, 0])
-                same = size >= before and head_sum(path, before) == start
-                end = last_newline(path, size, before if same else 0)
-                found[path] = [end, head_sum(path, end)]
+                done, digest = self.seen.get(path, [0, ""])
+                end = whole_lines(path, size, done if unchanged(path, size, done, digest) else 0)
+                found[path] = [end, prefix_digest(path, end)]
         self.seen = found
         self.tick += 1
         return {"files": found, "tick": self.tick}
@@ -74,22 +59,19 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []
         for path, (stop, _) in end["files"].items():
-            done, total = start["files"].get(path, [0, 0])
-            fresh = done == 0 or (stop >= done and head_sum(path, done) == total)
-            at = done if fresh else 0
-            if stop > at or not fresh:
-                out.append(FileRange(path, at, stop, not fresh))
+            done, digest = start["files"].get(path, [0, ""])
+            same = unchanged(path, stop, done, digest)
+            if stop > done or not same:
+                out.append(FileRange(path, done if same else 0, stop, not same))
         return out
 
     def read(self, partition: FileRange) -> Iterator[tuple]:
         session = os.path.splitext(os.path.relpath(partition.path, self.root))[0]
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            at = partition.start
-            while at < partition.end:
-                line = f.readline()
-                yield session, at, line.decode("utf-8", "replace").rstrip("\r\n"), partition.reset
-                at += len(line)
+        first = first_text(partition.path)
+        if partition.reset:
+            yield session, -1, "", False, True
+        for at, line in lines_between(partition.path, partition.start, partition.end, partition.start, partition.end):
+            yield session, at, line.decode("utf-8", "replace").rstrip("\r\n"), at <= first < at + len(line), partition.reset
 
 
 class TailSource(DataSource):
@@ -98,7 +80,7 @@ class TailSource(DataSource):
         return "log_tail"
 
     def schema(self) -> str:
-        return "session_id string, seq bigint, value string, reset boolean"
+        return "session_id string, seq bigint, value string, head boolean, reset boolean"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return TailReader(self.options["path"])
