@@ -476,7 +476,7 @@ def repeated_spans(df: DataFrame, length: int = 200, gram: int = 32, id_col: str
     discard(spark, path)
     n_ranges = max(1, -(-(pages.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES))
     heads = pages.select("head").repartitionByRange(n_ranges, "head").groupBy(F.spark_partition_id()).agg(F.min("head").alias("head"))
-    limits = limits_of([bytes(r[0]) for r in heads.collect()], gram) if n_ranges > 1 else []
+    limits = limits_of([bytes(r["head"]) for r in heads.collect()], gram) if n_ranges > 1 else []
     cut = pages.select("run", "first", "n", "size", "body").mapInArrow(_cut(limits), "part int, run long, first int, n int, size int, body binary")
     dealt = cut.repartition(len(limits) + 1, "part").sortWithinPartitions("part", "run", "first")
     judged = stored(dealt.mapInArrow(_merge(limits, length, gram), JUDGED))
