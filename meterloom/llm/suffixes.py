@@ -4,8 +4,8 @@ A string of `length` bytes that starts at two places is the same there down to t
 each), so it is enough to sort the suffixes that start at such a gram (an anchor), together with what lies before them.
 Anchors whose gram occurs once can't be part of a repeated string and drop out, as in sorting by distinguishing prefixes.
 
-1. Texts are packed into compressed blocks once. Anchors are counted by the hash of their gram; those that occur again
-   come back to their block.
+1. Texts are packed into compressed blocks once. Anchors are counted by the hash of their gram, first within a block; the
+   hashes that occur again come back to their blocks.
 2. Tasks sort their anchors' suffixes into runs: a key is the suffix, at most `length` bytes of it, followed by the bytes
    before the anchor in reverse, as far as strings reach of which it is the leftmost least gram. Equal keys become one entry with a count. Runs are kept as front-coded pages: the
    length of the prefix shared with the key before, and the rest.
@@ -158,8 +158,8 @@ def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at, h = anchors(expanded(row["body"], sum(row["sizes"])), row["sizes"], length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), row["block"])), pa.array(at.astype(np.int32))], ["h", "block", "at"])
+                h, n = np.unique(anchors(expanded(row["body"], sum(row["sizes"])), row["sizes"], length, gram)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), row["block"])), pa.array(n.astype(np.int32))], ["h", "block", "n"])
 
     return run
 
@@ -241,7 +241,7 @@ def _runs(length: int, gram: int):
                 body = expanded(row["body"], sum(row["sizes"]))
                 all_at, h = anchors(body, row["sizes"], length, gram)
                 low, high = reach(all_at, h, row["sizes"], length, gram)
-                chosen = np.searchsorted(all_at, np.sort(np.array(row["places"])))
+                chosen = np.flatnonzero(np.isin(h, np.array(row["again"], np.int64).view(np.uint64)))
                 chosen = chosen[high[chosen] - low[chosen] >= length]
                 for at, start, end in zip(all_at[chosen].tolist(), low[chosen].tolist(), high[chosen].tolist(), strict=True):
                     keys.append(body[at:end] + body[start:at][::-1])
@@ -469,10 +469,10 @@ def repeated_spans(df: DataFrame, length: int = 200, gram: int = 32, id_col: str
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = bucketed(texts.mapInArrow(_packed_blocks(arrow), f"block long, ids array<{name}>, sizes array<int>, body binary"), "block", "uncompressed")
     path = scratch_path(spark)
-    found = stored(blocks.select("block", "sizes", "body").mapInArrow(_anchor_rows(length, gram), "h long, block long, at int"), path=path)
-    again = found.groupBy("h").count().where("count > 1").select("h")
-    places = found.join(again, "h", "left_semi").groupBy("block").agg(F.collect_list("at").alias("places"))
-    pages = stored(blocks.select("block", "sizes", "body").join(places, "block").mapInArrow(_runs(length, gram), PAGES))
+    found = stored(blocks.select("block", "sizes", "body").mapInArrow(_anchor_rows(length, gram), "h long, block long, n int"), path=path)
+    twice = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    again = found.select("h", "block").join(twice, "h", "left_semi").groupBy("block").agg(F.collect_list("h").alias("again"))
+    pages = stored(blocks.select("block", "sizes", "body").join(again, "block").mapInArrow(_runs(length, gram), PAGES))
     discard(spark, path)
     n_ranges = max(1, -(-(pages.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES))
     heads = pages.select("head").repartitionByRange(n_ranges, "head").groupBy(F.spark_partition_id()).agg(F.min("head").alias("head"))
