@@ -103,28 +103,29 @@ def _kept(lines: DataFrame, strict: bool, strict_markers: bool, *more: str, alwa
     return kept.select("session_id", "seq", "useful", F.from_json("value", LINE).alias("j"), *more)
 
 
-def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True) -> DataFrame:
+def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True, headers: bool = False) -> DataFrame:
     """Records (schemas.RECORDS) of lines (session_id, seq, value); seq may be of any type that orders a session's lines.
 
     Lines that cannot matter are dropped by their text before anything is parsed, and only narrow columns go on. A usage
     record without a text timestamp is no record; one with a malformed timestamp raises an error if strict, and else
     stays to carry counts on but gives no event. If strict, a line that could matter and isn't UTF-8 is an error too.
+    headers adds thread_id and parent_thread_id, which the first line of a session may have.
     """
     lines = lines.select("session_id", "seq", trimmed(F.col("value")).alias("value")).where("value <> ''")
     heads = lines.groupBy("session_id").agg(F.min("seq").alias("first"))
     rows = _kept(lines, strict, strict_markers).join(heads, "session_id").withColumn("head", F.col("seq") == F.col("first"))
-    return _records(rows, strict)
+    return _records(rows, strict, headers)
 
 
-def line_records(lines: DataFrame, strict: bool = False, strict_markers: bool = True, keep: tuple[str, ...] = (), always: Column | None = None) -> DataFrame:
+def line_records(lines: DataFrame, strict: bool = False, strict_markers: bool = True, keep: tuple[str, ...] = (), always: Column | None = None, headers: bool = False) -> DataFrame:
     """The same, and the columns to keep, of lines that say themselves whether they are the first of their session that
     isn't blank (head): line by line, so that streams and parts of files can be parsed. Lines for which always holds give
     a record whatever their text."""
     lines = lines.withColumn("value", trimmed(F.col("value")))
-    return _records(_kept(lines, strict, strict_markers, "head", *keep, always=always), strict, *keep)
+    return _records(_kept(lines, strict, strict_markers, "head", *keep, always=always), strict, headers, *keep)
 
 
-def _records(rows: DataFrame, strict: bool, *keep: str) -> DataFrame:
+def _records(rows: DataFrame, strict: bool, headers: bool, *keep: str) -> DataFrame:
     kind, payload, message = text(F.col("j.type")), F.col("j.payload"), F.col("j.message")
     rows = rows.select("session_id", "seq", "head", "useful", *keep, kind.alias("type"), text(F.col("j.timestamp")).alias("at"), payload.alias("p"), message.alias("m"), text(F.col("j.parentSession")).alias("fork"))
     token = F.col("useful") & (F.col("type") == EVENT) & (text(F.col("p.type")) == TOKENS) & F.col("at").isNotNull()
@@ -149,6 +150,7 @@ def _records(rows: DataFrame, strict: bool, *keep: str) -> DataFrame:
         (F.col("head") & (F.col("type") == META) & text(parent).isNotNull()).alias("is_spawned"),
         F.coalesce(F.col("type") == BOUNDARY, F.lit(False)).alias("is_boundary"),
         F.when((F.col("type") == SESSION) & F.col("fork").isNotNull(), instant(F.col("at"))).alias("fork_ts"), *keep,
+        *([F.when(F.col("head") & (F.col("type") == META), x).alias(c) for c, x in (("thread_id", text(F.col("p.id"))), ("parent_thread_id", text(parent)))] if headers else []),
     )
 
 

@@ -29,10 +29,11 @@ def summaries(rows: DataFrame, certain: Column, uncertain: Column) -> DataFrame:
     counts = lambda prefix: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in COUNTERS])
     after = F.struct(*[(_zero(F.col(f"_base_{c}")) + F.col(f"_sum_{c}")).alias(c) for c in COUNTERS])
     doubtful = F.struct("seq", "model", counts("_total.").alias("total"), counts("_sum_").alias("sum"))
+    rows = rows.withColumns({"_certain": certain, "_doubt": uncertain & F.col("model").isNotNull(), "_after": after})
     return rows.groupBy("session_id", "segment").agg(
-        F.bool_or(F.col("_total").isNotNull()).alias("sets"), F.max_by(after, "seq").alias("amount"),
-        F.max(F.when(certain.isNotNull(), F.struct("seq", certain.alias("model")))).alias("certain"),
-        F.max(F.when(uncertain & F.col("model").isNotNull(), doubtful)).alias("doubtful"),
+        F.bool_or(F.col("_total").isNotNull()).alias("sets"), F.max_by("_after", "seq").alias("amount"),
+        F.max(F.when(F.col("_certain").isNotNull(), F.struct("seq", F.col("_certain").alias("model")))).alias("certain"),
+        F.max(F.when(F.col("_doubt"), doubtful)).alias("doubtful"),
         F.min_by("is_spawned", "seq").alias("spawned"), F.bool_or("is_boundary").alias("boundary"),
         F.min_by("fork_ts", F.when(F.col("fork_ts").isNotNull(), F.col("seq"))).alias("fork_ts"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +36,24 @@ def preferred_files(files: DataFrame) -> DataFrame:
     return simple.unionByName(sets.select("session_id", fold.alias("best")).select("session_id", "best.*"))
 
 
+#: What tells one file object from another, where the file system says so.
+IDENTITY = ("dev", "ino", "ctime_ns")
+
+
 def refresh_plan(files: DataFrame, manifest: DataFrame, parser_version: int = 1) -> DataFrame:
     """files with action: cached (nothing changed), append (a plain file of the same path grew), rebuild, or removed
     for sessions of the manifest that are gone.
 
-    manifest: session_id, path, compressed, bytes, mtime, parsed_bytes, parser_version, is_valid.
+    manifest: session_id, path, compressed, bytes, mtime, parsed_bytes, parser_version, is_valid; where both tables have
+    IDENTITY, a file with another change time isn't cached, and only the same file object is appended to.
     """
-    old = manifest.select("session_id", F.struct("path", "compressed", "bytes", "mtime", "parsed_bytes", "parser_version", "is_valid").alias("old"))
+    old = manifest.select("session_id", F.struct(*[c for c in manifest.columns if c != "session_id"]).alias("old"))
     rows = files.join(old, "session_id", "full_outer")
-    same = (F.col("old.bytes") == F.col("bytes")) & (F.col("old.mtime") == F.col("mtime")) & (F.col("old.compressed") == F.col("compressed"))
+    told = set(IDENTITY) <= set(files.columns) & set(manifest.columns)
+    kept = lambda *names: F.coalesce(reduce(Column.__and__, [F.col(f"old.{c}") == F.col(c) for c in names]), F.lit(True)) if told else F.lit(True)
+    same = (F.col("old.bytes") == F.col("bytes")) & (F.col("old.mtime") == F.col("mtime")) & (F.col("old.compressed") == F.col("compressed")) & kept(*IDENTITY)
     compatible = (F.col("old.path") == F.col("path")) & (F.col("old.parser_version") == parser_version)
-    grows = ~F.col("compressed") & ~F.col("old.compressed") & (F.col("bytes") > F.col("old.bytes")) & (F.col("old.parsed_bytes") <= F.col("old.bytes"))
+    grows = ~F.col("compressed") & ~F.col("old.compressed") & (F.col("bytes") > F.col("old.bytes")) & (F.col("old.parsed_bytes") <= F.col("old.bytes")) & kept("dev", "ino")
     action = (
         F.when(F.col("path").isNull(), "removed").when(F.col("old").isNull() | ~compatible | ~F.col("old.is_valid"), "rebuild").when(same, "cached").when(grows, "append").otherwise("rebuild")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meterloom.operators.events import usage_events
 from meterloom.operators.pricing import BUILT_IN
@@ -111,3 +112,19 @@ def files_of(lines: DataFrame) -> DataFrame:
     """The files that lines come from, as large and as old as those lines make them."""
     sizes = lines.groupBy("session_id", "root_ord", "path").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("ts").alias("mtime"))
     return sizes.select("session_id", "root_ord", "path", F.lit(False).alias("compressed"), "bytes", "mtime")
+
+
+class LineParts:
+    """Parts of the files that lines stand for (operators.incremental.Parts): a line is as long as its text and a break."""
+
+    def __init__(self, lines: DataFrame):
+        self.lines = lines
+
+    def examined(self, files: DataFrame) -> DataFrame:
+        whole = F.lit("whole")
+        return files.select("path", F.col("bytes").alias("end"), whole.alias("digest"), F.when(F.col("parsed_bytes").isNotNull(), whole).alias("known"))
+
+    def range_lines(self, ranges: DataFrame) -> DataFrame:
+        so_far = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("path").orderBy("seq"))
+        rows = self.lines.withColumn("at", so_far).join(ranges.select("path", "start", F.col("end").alias("stop")), "path")
+        return rows.where("at > start AND at <= stop").withColumn("head", F.col("at") == F.octet_length("value") + 1).drop("at", "start", "stop", "root_ord", "ts")

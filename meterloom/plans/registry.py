@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import formats
 from meterloom.operators import inventory, lineage, live, reports
+from meterloom.operators.events import carried_states
+from meterloom.operators.events import usage_events as usage_events_of
 from meterloom.operators.pricing import candidates, merged_prices, resolved_prices
 from meterloom.plans import bindings as b
 from meterloom.schemas import COUNTERS, ReportOptions
+from meterloom.sources.files import find_session as find
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -86,6 +89,21 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.events(spark, sf_dir).select("session_id", F.col("seq.event_id").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "model", "is_fallback", *COUNTERS)
 
 
+@query("segmented_events", f"WITH {_RECORDS_SQL} SELECT session_id, event_id, model, is_fallback, {', '.join(COUNTERS)} FROM all_events WHERE NOT inherited")
+def segmented_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of replay_suppression, with each session cut into days that are summed up apart."""
+    events = usage_events_of(b.records(spark, sf_dir), segment=F.to_date("seq.ts"))
+    return events.select("session_id", F.col("seq.event_id").alias("event_id"), "model", "is_fallback", *COUNTERS)
+
+
+@query("continued_events", f"WITH {_RECORDS_SQL} SELECT session_id, event_id, model, is_fallback, {', '.join(COUNTERS)} FROM all_events WHERE NOT inherited AND ts >= TIMESTAMP '2024-01-15'")
+def continued_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events from a day on, found from the records since then and the states that sessions had before."""
+    records, late = b.records(spark, sf_dir), F.col("seq.ts") >= F.lit("2024-01-15").cast("timestamp")
+    events = usage_events_of(records.where(late), state=carried_states(records.where(~late)))
+    return events.select("session_id", F.col("seq.event_id").alias("event_id"), "model", "is_fallback", *COUNTERS)
+
+
 @query("replay_suppression", f"WITH {_RECORDS_SQL} SELECT session_id, event_id, model, is_fallback, {', '.join(COUNTERS)} FROM all_events WHERE NOT inherited")
 def replay_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.events(spark, sf_dir, replay=True).select("session_id", F.col("seq.event_id").alias("event_id"), "model", "is_fallback", *COUNTERS)
@@ -118,6 +136,21 @@ def monthly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(reports.monthly_report(b.events(spark, sf_dir), b.pricing(spark)), "month")
 
 
+@query("json_report", with_events(f"""
+m AS (SELECT {DAY} AS key, model, sum(total) AS total, bool_or(is_fallback) AS fallback FROM all_events GROUP BY ALL)
+SELECT 'daily' AS kind, CAST(key AS VARCHAR) AS key, CAST(sum(total) AS BIGINT) AS total, CAST(max(total) FILTER (model = 'gpt-5') AS BIGINT) AS gpt_5, string_agg(model, ',' ORDER BY model) AS models,
+  bool_or(fallback) FILTER (model = 'gpt-5') AS fallback, '/gone' AS missing FROM m GROUP BY key"""))
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the JSON texts of a daily report, models in the order that the texts have them."""
+    texts = reports.json_report(reports.daily_report(b.events(spark, sf_dir), b.pricing(spark)), "daily", ["/gone"])
+    at = lambda path: F.get_json_object("value", path)
+    return texts.select(
+        at("$.kind").alias("kind"), at("$.row.date").alias("key"), at("$.row.total").cast("bigint").alias("total"), at("$.row.models.gpt-5.total").cast("bigint").alias("gpt_5"),
+        F.array_join(F.json_object_keys(at("$.row.models")), ",").alias("models"), F.coalesce(at("$.row.models.gpt-5.is_fallback"), F.lit("false")).cast("boolean").alias("fallback"),
+        at("$.missing_directories[0]").alias("missing"),
+    )
+
+
 @query("session_report", with_events(f"""
 m AS (SELECT session_id, model, {SUMS}, max(ts) AS last_ts FROM all_events GROUP BY session_id, model),
 p AS (SELECT m.*, {_COST} AS cost FROM m JOIN prices USING (model))
@@ -263,6 +296,29 @@ def dedupe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.preferred_files(b.files(spark, sf_dir)).select("session_id", "path", "bytes")
 
 
+@query("find_session", _FILES + """,
+kept AS (SELECT * FROM f WHERE session_id = 'c1' OR session_id = 'c10'),
+plain AS (SELECT DISTINCT session_id, root_ord FROM kept WHERE NOT compressed),
+k AS (SELECT kept.* FROM kept LEFT JOIN plain USING (session_id, root_ord) WHERE NOT compressed OR plain.root_ord IS NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY root_ord, path) AS k FROM k),
+""" + _PREFERRED[_PREFERRED.index("s AS ("):] + " SELECT session_id, arg_max(path, k) AS path, arg_max(bytes, k) AS bytes FROM s GROUP BY session_id")
+def find_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of two sessions, looked up by id across roots; plain files go first in a root."""
+    found = [find(b.files(spark, sf_dir), name) for name in ("c1", "c10")]
+    return found[0].unionByName(found[1]).select("session_id", "path", "bytes")
+
+
+@query("number_texts", """
+SELECT l_orderkey, l_linenumber, format('{:,}', CAST(floor(l_extendedprice * 100) AS BIGINT)) AS full_number, printf('$%.2f', CAST(l_extendedprice AS DOUBLE)) AS currency,
+  CAST(CAST(round_even(greatest(0, least(100, 100 - CAST(l_quantity * 2.5 AS DOUBLE))), 0) AS BIGINT) AS VARCHAR) AS percent_left FROM lineitem""")
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as reports and the monitor show them."""
+    price, used = F.col("l_extendedprice").cast("double"), (F.col("l_quantity") * 2.5).cast("double")
+    return b.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", formats.full_number(F.floor(F.col("l_extendedprice") * 100)).alias("full_number"), formats.currency(price).alias("currency"), formats.percent_left(used).alias("percent_left"),
+    )
+
+
 @query("plain_over_compressed", _FILES + """
 SELECT session_id, path FROM f WHERE NOT compressed OR (root_ord, session_id) NOT IN (SELECT (root_ord, session_id) FROM f WHERE NOT compressed)""")
 def plain_over_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +414,13 @@ def burn_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("sample", F.date_format("end_ts", "HH:mm").alias("end_time"), F.round("cost_usd_per_hour", 9).alias("cost_usd_per_hour"))
 
 
+@query("burn_history_short", "SELECT * FROM (" + history_sql("2024-01-15 12:10:00") + ") WHERE sample >= 16")
+def burn_history_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 17 points, four hours of it."""
+    h = live.burn_history(b.events(spark, sf_dir), b.pricing(spark), NOON, points=17)
+    return h.select("sample", F.date_format("end_ts", "HH:mm").alias("end_time"), F.round("cost_usd_per_hour", 9).alias("cost_usd_per_hour"))
+
+
 @query("burn_history_after_midnight", history_sql("2024-01-15 00:20:00"))
 def burn_history_after_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = live.burn_history(b.events(spark, sf_dir), b.pricing(spark), EARLY)
@@ -485,13 +548,13 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stored_daily", grouped_sql(DAY))
 def stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily report over a store of sums: log lines of all sessions up to a day are parsed into it, then it is refreshed
-    with what the files gained since."""
+    with what the files gained since, which continues from the stored states."""
     from meterloom.operators import incremental
     from meterloom.session import shared_dir
 
     store, lines = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", b.lines(spark, sf_dir)
     for known in (lines.where("ts < '2024-01-15'"), lines):
-        incremental.refresh(spark, known, b.files_of(known), store)
+        incremental.refresh(spark, known, b.files_of(known), store, parts=b.LineParts(known))
     return flat(incremental.stored_report(spark, "daily", store, b.pricing(spark)), "date")
 
 
