@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -68,12 +69,13 @@ class BlockMaxIndex:
     def build(cls, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels, votes, ids, n_terms: int) -> BlockMaxIndex:
         """owner, terms, weights: the components of the vectors of examples 0.. in any order."""
         n, labels, votes, ids = len(ids), np.asarray(labels, np.int64), np.asarray(votes, float), np.asarray(ids, np.int64)
-        # examples that share their heaviest term become neighbours, which keeps the bounds of blocks tight
-        heavy = np.full(n, n_terms)
-        by_weight = np.lexsort((-terms, weights))
-        heavy[owner[by_weight]] = terms[by_weight]
+        # examples that share their heaviest term (the least of equals) become neighbours, which keeps the bounds of blocks tight
+        most, heavy = np.zeros(n, weights.dtype), np.full(n, n_terms)
+        np.maximum.at(most, owner, weights)
+        heaviest = weights == most[owner]
+        np.minimum.at(heavy, owner[heaviest], terms[heaviest])
         order = np.lexsort((ids, heavy))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         place, weights = place[owner], weights.astype(np.float32)
         common = np.bincount(terms, minlength=n_terms) * COMMON >= n
@@ -100,10 +102,10 @@ class BlockMaxIndex:
             row = self.row[terms]
             rare = row < 0
             start, end = self.starts[terms[rare]], self.starts[terms[rare] + 1]
-            runs = list(map(slice, start.tolist(), end.tolist()))
-            places = np.concatenate([self.places[r] for r in runs]) if runs else self.places[:0]
-            posted = np.concatenate([self.weights[r] for r in runs]) if runs else self.weights[:0]
-            scores[i] = np.bincount(places, np.repeat(weights[rare].astype(np.float32), end - start) * posted, blocks * BLOCK)
+            sizes = end - start
+            # the postings of all rare terms, one after the other
+            posting = np.arange(int(sizes.sum())) + np.repeat(start - np.cumsum(sizes) + sizes, sizes)
+            scores[i] = np.bincount(self.places[posting], np.repeat(weights[rare].astype(np.float32), sizes) * self.weights[posting], blocks * BLOCK)
             common[i, row[~rare]] = weights[~rare]
         # rare terms count at once; they and the largest weights of the common ones bound what a block can hold
         bounds = scores.reshape(n, blocks, BLOCK).max(2) + common @ self.tops
@@ -116,20 +118,22 @@ class BlockMaxIndex:
             np.logical_or(scored, chosen, out=scored)
 
         first = min(FIRST_BLOCKS, blocks)
-        high = np.zeros((n, blocks), bool)
-        np.put_along_axis(high, np.argpartition(-bounds, first - 1, 1)[:, :first], True, 1)
-        score(high)
-        # what is scored so far, in part or whole, is no more than the true cosine
-        least = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] > k else np.zeros(n, np.float32)
+        high, chosen = np.argpartition(-bounds, first - 1, 1)[:, :first], np.zeros((n, blocks), bool)
+        np.put_along_axis(chosen, high, True, 1)
+        score(chosen)
+        # the k-th of these is no more than the k-th of all
+        near = np.take_along_axis(scores.reshape(n, blocks, BLOCK), high[:, :, None], 1).reshape(n, -1)
+        least = np.partition(near, -k, 1)[:, -k] if near.shape[1] > k else np.zeros(n, np.float32)
         score(~scored & (bounds > 0) & (bounds >= least[:, None] - 2e-6))
         out = []
         for i in range(n):
-            found = np.round(scores[i], 6)
-            least = np.partition(found, -k)[-k] if len(found) > k else 0
-            at = np.flatnonzero((found >= least) & (found > 0))
-            at = at[scored[i, at // BLOCK]]
-            at = at[np.lexsort((at, -found[at]))][:k]
-            out.append((at, found[at].astype(float)))
+            # k scores are least or more, so the k best are among those near it
+            at = np.flatnonzero(scores[i] >= least[i] - 2e-6)
+            found = np.round(scores[i, at], 6)
+            kept = (found > 0) & scored[i, at // BLOCK]
+            at, found = at[kept], found[kept]
+            best = np.lexsort((at, -found))[:k]
+            out.append((at[best], found[best].astype(float)))
         return out
 
 
@@ -148,18 +152,19 @@ class ToxicityModel:
     def packed(self, spark):
         """A function that gives this model in a task."""
         sc = spark.sparkContext
-        words, core = self.shared or (sc.broadcast(self.vocabulary), sc.broadcast((self.weights, self.index)))
+        words, core = self.shared or (sc.broadcast(self.vocabulary), sc.broadcast((self.weights, self.index and vars(self.index))))
         base, none, steps = self.base, self.none, self.steps
-        return lambda: ToxicityModel(words.value, *core.value, base, none, steps)
+        # plain values travel, as workers needn't have this package
+        return lambda: ToxicityModel(words.value, core.value[0], core.value[1] and BlockMaxIndex(**core.value[1]), base, none, steps)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms, in order, and components of the unit vector of a text's words; empty if no example has one of them."""
-        place = self.vocabulary.get
-        known = [(p, n) for w, n in counts.items() if (p := place(w)) is not None]
-        both = np.array(known, np.int64).reshape(-1, 2)
-        both = both[both[:, 0].argsort()]
-        terms = both[:, 0]
-        raw = (1 + np.log(both[:, 1])) * self.weights[terms]
+        terms = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.int64, len(counts))
+        by = terms.argsort()
+        by = by[np.searchsorted(terms[by], 0) :]
+        terms = terms[by]
+        raw = (1 + np.log(times[by])) * self.weights[terms]
         return terms, raw / (math.sqrt(float(raw @ raw)) or 1.0)
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> list[tuple[float, list[tuple]]]:
@@ -250,6 +255,8 @@ def fit_toxicity(
     seen = examples.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).orderBy("word").toArrow()
     vocabulary = {w.encode("latin-1"): i for i, w in enumerate(seen.column("word").to_pylist())}
     a, n = (seen.column(c).to_numpy().astype(float) for c in ("a", "n"))
+    del seen
+    pa.default_memory_pool().release_unused()
     contrast = np.abs(np.log((a + 1) / (toxic[1] + 2)) - np.log((n - a + 1) / (clean[1] + 2)))
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
@@ -258,8 +265,9 @@ def fit_toxicity(
         places, total = words.value, 0
         n = np.zeros(len(places), np.int64)
         for batch in portions(batches, "text"):
-            found = [p for t in text_bytes(batch.column("text")) for w in set(terms_of(t)) if (p := places.get(w)) is not None]
-            n += np.bincount(np.array(found, np.int64), minlength=len(n))
+            for t in text_bytes(batch.column("text")):
+                found = np.fromiter(map(places.get, set(terms_of(t)), repeat(-1)), np.int64)
+                n[found[found >= 0]] += 1  # each word once
             total += batch.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(n[at], total))], ["term", "n"])
@@ -295,12 +303,16 @@ def _index(examples: DataFrame, model: ToxicityModel, words) -> ToxicityModel:
     label, weight = rows.column("label").to_numpy(), rows.column("weight").to_numpy()
     empty = np.array([not len(t) for t in terms])
     model.none = float(weight[empty & (label == 1)].sum() / weight[empty].sum()) if empty.any() else model.base
-    owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    votes = weight / np.where(label == 1, weight[label == 1].sum(), weight[label == 0].sum()) * len(label)
-    model.index = BlockMaxIndex.build(owner, np.concatenate(terms), np.concatenate(weights), label, votes, rows.column("id").to_numpy(), len(model.vocabulary))
+    owner = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    votes, ids = weight / np.where(label == 1, weight[label == 1].sum(), weight[label == 0].sum()) * len(label), rows.column("id").to_numpy()
+    terms, weights = np.concatenate(terms), np.concatenate(weights)
+    del rows
+    model.index = BlockMaxIndex.build(owner, terms, weights, label, votes, ids, len(model.vocabulary))
+    del owner, terms, weights
+    pa.default_memory_pool().release_unused()
     # the vectors are stored, so no task asks for their broadcast again
     core.destroy()
-    model.shared = (words, sc.broadcast((model.weights, model.index)))
+    model.shared = (words, sc.broadcast((model.weights, vars(model.index))))
     given_all = model.packed(examples.sparkSession)
 
     def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
