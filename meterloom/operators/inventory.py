@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What tells one file object from another, where the file system says so.
+IDENTITY = ("dev", "ino", "ctime_ns")
+
+
 def plain_over_compressed(files: DataFrame) -> DataFrame:
     """Files without compressed ones that have a plain sibling in the same root."""
     plain = files.where(~F.col("compressed")).select("root_ord", "session_id").distinct()
@@ -28,7 +32,7 @@ def preferred_files(files: DataFrame) -> DataFrame:
     Sessions of plain files alone, nearly all of any store, take one max_by; only mixed sessions gather their few files.
     """
     key = F.struct("bytes", "mtime", "path")
-    file = F.struct("root_ord", "path", "compressed", "bytes", "mtime")
+    file = F.struct("root_ord", "path", "compressed", "bytes", "mtime", *[c for c in IDENTITY if c in files.columns])
     mixed = files.groupBy("session_id").agg(F.bool_or("compressed").alias("mixed"), F.max_by(file, key).alias("best"))
     simple = mixed.where(~F.col("mixed")).select("session_id", "best.*")
     sets = files.join(mixed.where("mixed").select("session_id"), "session_id").groupBy("session_id").agg(F.array_sort(F.collect_list(file)).alias("all"))
@@ -36,10 +40,6 @@ def preferred_files(files: DataFrame) -> DataFrame:
     return simple.unionByName(sets.select("session_id", fold.alias("best")).select("session_id", "best.*"))
 
 
-#: What tells one file object from another, where the file system says so.
-IDENTITY = ("dev", "ino", "ctime_ns")
-
-
 def refresh_plan(files: DataFrame, manifest: DataFrame, parser_version: int = 1) -> DataFrame:
     """files with action: cached (nothing changed), append (a plain file of the same path grew), rebuild, or removed
     for sessions of the manifest that are gone.

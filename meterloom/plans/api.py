@@ -66,8 +66,6 @@ def refreshed_report(spark: SparkSession, kind: str, store: str, options: Report
     choice of roots and project."""
     pricing = built_in_prices(spark) if pricing is None else pricing
     roots = list(options.roots)
-    chosen, parts = chosen_files(spark, options), None
-    if all(ranges.mounted(spark, root) for root in roots):
-        chosen, parts = checkpointed(chosen.join(ranges.statuses(chosen), "path", "left")), ranges
+    chosen, parts = chosen_files(spark, options), ranges if all(ranges.mounted(spark, root) for root in roots) else None
     incremental.refresh(spark, files.selected_lines(spark, roots, files=chosen), chosen, store, options.timezone, parts)
     return _report(spark, kind, incremental.stored_report(spark, kind, store, pricing, options, today), options)

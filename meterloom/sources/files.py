@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from functools import reduce
 
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from meterloom.functions.formats import inside, normal_path
 from meterloom.functions.parse import descriptors
-from meterloom.operators.inventory import plain_over_compressed, preferred_files
+from meterloom.operators.inventory import IDENTITY, plain_over_compressed, preferred_files
+from meterloom.sources import ranges
 
 NAME = r"(?i)\.jsonl(\.zst)?$"
 LINES = "session_id string, root_ord int, path string, seq struct<block_start:bigint,line:bigint>, value string"
-FILES = "session_id string, root_ord int, path string, compressed boolean, bytes bigint, mtime timestamp"
+FILES = "session_id string, root_ord int, path string, compressed boolean, bytes bigint, mtime timestamp, dev bigint, ino bigint, ctime_ns bigint"
 
 
 def missing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
@@ -30,7 +32,7 @@ def missing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
 
 
 def _shown(root: str) -> str:
-    return "/" + root.split("://")[-1].split(":", 1)[-1].strip("/")
+    return posixpath.normpath("/" + root.split("://")[-1].split(":", 1)[-1].strip("/"))
 
 
 def _plain(path: Column) -> Column:
@@ -66,17 +68,33 @@ def _empty(spark: SparkSession, found: DataFrame, sized: DataFrame) -> DataFrame
     return spark.createDataFrame(rows, "path string, length bigint, millis bigint").select("path", "length", F.timestamp_millis("millis").alias("modificationTime"))
 
 
+def _local(root: str) -> str:
+    """The path of a root on a mounted file system."""
+    return _shown(root)
+
+
 def inventory(spark: SparkSession, roots: list[str], modified_after: str | None = None) -> DataFrame:
-    """(session_id, root_ord, path, compressed, bytes, mtime) of all log files below the roots that exist, empty ones too.
-    Only what the file system says about them is read; modified_after (a timestamp) leaves older files out."""
-    parts = []
+    """(session_id, root_ord, path, compressed, bytes, mtime, dev, ino, ctime_ns) of all log files below the roots that
+    exist, empty ones too. Only what the file system says about them is read; modified_after (a timestamp) leaves older
+    files out. Tasks list the roots that can be opened by path; of others Spark lists the files, and identities are null."""
+    parts, near = [], []
     for order, root in _present(spark, roots):
+        if ranges.mounted(spark, root):
+            near.append((order, root))
+            continue
         found = _reader(spark, modified_after).format("binaryFile").load(root)
         sized = found.select(_plain(F.col("path")).alias("path"), "length", "modificationTime")
         session, compressed = _named(F.col("path"), root)
+        none = [F.lit(None).cast("bigint").alias(c) for c in IDENTITY]
         parts.append(sized.unionByName(_empty(spark, found, sized)).where(F.col("path").rlike(NAME)).select(
-            session.alias("session_id"), F.lit(order).alias("root_ord"), "path", compressed.alias("compressed"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"),
+            session.alias("session_id"), F.lit(order).alias("root_ord"), "path", compressed.alias("compressed"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), *none,
         ))
+    if near:
+        listed = ranges.listing(spark, [(order, _local(root)) for order, root in near]).where(F.col("path").rlike(NAME))
+        listed = listed.where(F.col("mtime") > F.lit(modified_after).cast("timestamp")) if modified_after else listed
+        named = {order: _named(F.col("path"), root) for order, root in near}
+        pick = lambda i: F.coalesce(*[F.when(F.col("root_ord") == order, columns[i]) for order, columns in named.items()])
+        parts.append(listed.select(pick(0).alias("session_id"), "root_ord", "path", pick(1).alias("compressed"), "bytes", "mtime", *IDENTITY))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FILES)
 
 
@@ -93,9 +111,10 @@ def lines(spark: SparkSession, roots: list[str], modified_after: str | None = No
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINES)
 
 
-def within_project(files: DataFrame, all_lines: DataFrame, project: str) -> DataFrame:
-    """Files whose first line names a working directory inside project; others, and those without one, go."""
-    named = descriptors(all_lines.select(F.col("path").alias("session_id"), "seq", "value")).where("cwd IS NOT NULL")
+def within_project(files: DataFrame, heads: DataFrame, project: str) -> DataFrame:
+    """Files whose first line (heads: path, seq, value) names a working directory inside project; others, and those
+    without one, go."""
+    named = descriptors(heads.select(F.col("path").alias("session_id"), "seq", "value")).where("cwd IS NOT NULL")
     root = normal_path(F.lit(project))
     near = named.where(inside(normal_path(F.col("cwd")), root)).select(F.col("session_id").alias("path"))
     return files.join(near, "path", "left_semi")
@@ -105,7 +124,10 @@ def selected_files(spark: SparkSession, roots: list[str], project: str | None =
     """One file for each session: plain over compressed in a root, then inside the project, then the preferred copy across
     roots."""
     files = plain_over_compressed(inventory(spark, roots, modified_after))
-    files = within_project(files, lines(spark, roots, modified_after), project) if project else files
+    if project and all(ranges.mounted(spark, root) for root in roots):
+        files = within_project(files, ranges.first_lines(files).withColumn("seq", F.lit(0)), project)  # bodies are not read
+    elif project:
+        files = within_project(files, lines(spark, roots, modified_after), project)
     return preferred_files(files)
 
 
@@ -118,10 +140,3 @@ def selected_lines(spark: SparkSession, roots: list[str], project: str | None =
 def find_session(files: DataFrame, session_id: str) -> DataFrame:
     """The preferred file of one session."""
     return preferred_files(plain_over_compressed(files.where(F.col("session_id") == session_id)))
-
-
-def fingerprint(spark: SparkSession, path: str, prefix_bytes: int = 4096) -> DataFrame:
-    """(path, length, sha) of files: a hash of the length, the first and the last prefix_bytes."""
-    c = F.col("content")
-    ends = F.concat(F.col("length").cast("string").cast("binary"), F.substring(c, 1, prefix_bytes), F.substring(c, -prefix_bytes, prefix_bytes))
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2(ends, 256).alias("sha"))

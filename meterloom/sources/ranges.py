@@ -124,21 +124,53 @@ def range_lines(ranges: DataFrame) -> DataFrame:
     return _spread(pieces, "path", "low").mapInArrow(run, LINES)
 
 
-def statuses(files: DataFrame) -> DataFrame:
-    """(path, dev, ino, ctime_ns) of files that can be opened by path; no row for those that are gone."""
+STATUS = "root_ord int, path string, bytes bigint, mtime timestamp, dev bigint, ino bigint, ctime_ns bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shown(name: str) -> bool:
+    """Whether Spark's readers would read a file or folder of this name."""
+    return not name.startswith((".", "_"))
+
+
+def files_below(top: str) -> Iterator[str]:
+    """Paths of all files below a folder, or top itself if it is a file; links are followed once."""
+    if not os.path.isdir(top):
+        yield top
+        return
+    seen = {os.path.realpath(top)}
+    for folder, inner, names in os.walk(top, followlinks=True):
+        fresh = [n for n in inner if shown(n) and os.path.realpath(os.path.join(folder, n)) not in seen]
+        seen.update(os.path.realpath(os.path.join(folder, n)) for n in fresh)
+        inner[:] = fresh
+        yield from (os.path.join(folder, n) for n in names if shown(n))
+
+
+def listing(spark: SparkSession, roots: list[tuple[int, str]]) -> DataFrame:
+    """STATUS of all files below roots (ordinal, path) that can be opened by path. Folders of two levels are dealt to
+    tasks, which walk what is below them; nothing is listed on the driver."""
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [(o, os.path.join(top, n)) for o, top in zip(rows.column("root_ord").to_pylist(), rows.column("top").to_pylist(), strict=True) for n in (os.listdir(top) if os.path.isdir(top) else [""]) if not n or shown(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int32()), pa.array([p.rstrip("/") for _, p in found], pa.string())], ["root_ord", "top"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = []
-            for path in rows.column("path").to_pylist():
-                try:
-                    s = os.stat(path)
-                except FileNotFoundError:
-                    continue
-                found.append((path, s.st_dev, s.st_ino, s.st_ctime_ns))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3))], ["path", "dev", "ino", "ctime_ns"])
-
-    return _spread(files.select("path"), "path").mapInArrow(run, "path string, dev bigint, ino bigint, ctime_ns bigint")
+            for order, top in zip(rows.column("root_ord").to_pylist(), rows.column("top").to_pylist(), strict=True):
+                found = []
+                for path in files_below(top):
+                    try:
+                        s = os.stat(path)
+                    except FileNotFoundError:
+                        continue
+                    found.append((order, path, s.st_size, s.st_mtime_ns // 1000, s.st_dev, s.st_ino, s.st_ctime_ns))
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], ["root_ord", "path", "bytes", "mtime", "dev", "ino", "ctime_ns"])
+
+    tops = spark.createDataFrame([(o, os.path.normpath(r)) for o, r in roots], "root_ord int, top string")
+    for _ in range(2):
+        tops = _spread(tops, "top").mapInArrow(children, "root_ord int, top string")
+    return _spread(tops, "top").mapInArrow(walk, STATUS)
 
 
 def examined(files: DataFrame) -> DataFrame:
