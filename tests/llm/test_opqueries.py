@@ -97,7 +97,7 @@ def test_op3(spark, tables, rows):
     for r in got:
         want = tokens(text[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id, 7, 2), len(want), sum(counts[w] > 0 for w in want), n)
-        assert r.score < 0 and abs(r.bits_per_byte + r.score * 3.3219280948873623 / max(1, len(text[r.doc_id].encode()))) < 1e-6
+        assert r.score < 0 and abs(r.token_bits_per_byte + r.score * 3.3219280948873623 / max(1, len(text[r.doc_id].encode()))) < 1e-6
 
 
 def test_op4(spark, tables, rows):
