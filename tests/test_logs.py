@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from meterloom.plans.api import build_report, events_of
+from meterloom.plans.api import build_report, events_of, session_file
 from meterloom.schemas import ReportOptions
 from meterloom.sources.files import inventory, selected_files
 
@@ -144,6 +144,49 @@ def test_prices_do_not_compute_events_twice(spark):
     assert plan.count("Relation [event_id") == 1 and len([x for x in plan.split("\n") if x.lstrip(" +-:").startswith("Window [")]) <= 4
 
 
+def test_months_models_json_and_lookup(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    write(a / "p/s.jsonl", context("zeta"), tokens("2025-01-01T00:00:00Z", usage(2, 0, 0, 0)), context("alpha"), tokens("2024-12-31T23:59:59Z", usage(1, 0, 0, 0)), tokens("2025-01-05T00:00:00Z", usage(4, 0, 0, 0)))
+    write(b / "p/s.jsonl", tokens("2024-11-30T00:00:00Z", usage(8, 0, 0, 0)))
+    report = build_report(spark, "monthly", ReportOptions(roots=(str(a), str(b), str(tmp_path / "gone"))))
+    assert [(r.month, r.total) for r in rows(report)] == [("2024-12", 1), ("2025-01", 6)]
+    texts = [json.loads(r.value) for r in report["json"].collect()]
+    assert [(t["kind"], t["row"]["month"], t["missing_directories"]) for t in texts] == [("monthly", m, [str(tmp_path / "gone")]) for m in ("2024-12", "2025-01")]
+    assert list(texts[1]["row"]["models"]) == ["alpha", "zeta"] and "is_fallback" not in texts[1]["row"]["models"]["zeta"]
+    # both bounds belong to the range, and days are those of the zone
+    bounds = ReportOptions(roots=(str(a),), since="2024-12-31", until="20250101", timezone="Europe/Warsaw")
+    assert [(str(r.date), r.total) for r in rows(build_report(spark, "daily", bounds))] == [("2025-01-01", 3)]
+    # the larger copy across roots; no row for an unknown session
+    options = ReportOptions(roots=(str(b), str(a)))
+    assert [r.path for r in session_file(spark, options, "p/s").collect()] == [str(a / "p/s.jsonl")] and session_file(spark, options, "p/none").count() == 0
+
+
+def test_files_are_pruned_by_time_and_links_followed_once(spark, tmp_path):
+    import os
+
+    write(tmp_path / "r/old.jsonl", context("m"))
+    write(tmp_path / "r/x/y/z/new.jsonl", context("m"))
+    write(tmp_path / "r/_hidden/s.jsonl", context("m"))
+    os.symlink(tmp_path / "r/x", tmp_path / "r/x/y/loop")
+    os.utime(tmp_path / "r/old.jsonl", (1_700_000_000, 1_700_000_000))
+    found = lambda **more: sorted(r.session_id for r in inventory(spark, [str(tmp_path / "r")], **more).collect())
+    assert found() == ["old", "x/y/z/new"] and found(modified_after="2024-01-01T00:00:00") == ["x/y/z/new"]
+
+
+def test_large_files_are_read_in_segments(spark, tmp_path):
+    entries = [context("m1"), *[tokens(f"2025-09-11T00:{i // 60 % 60:02d}:{i % 60:02d}Z", total=usage(i + 1, 0, 0, 0)) for i in range(3000)]]
+    write(tmp_path / "s.jsonl", *entries)
+    options, key = ReportOptions(roots=(str(tmp_path),)), "spark.sql.files.maxPartitionBytes"
+    want = rows(build_report(spark, "daily", options))
+    spark.conf.set(key, "64k")
+    try:
+        events, lines = events_of(spark, options)
+        assert lines.select("seq.block_start").distinct().count() > 4
+        assert rows(build_report(spark, "daily", options)) == want and want[0].total == 3000 and events.where("model <> 'm1'").count() == 0
+    finally:
+        spark.conf.unset(key)
+
+
 def test_options():
     with pytest.raises(ValueError):
         ReportOptions(last_days=2, since="20250101")
