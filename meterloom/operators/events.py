@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,7 +79,10 @@ def usage_events(records: DataFrame, segment: Column | None = None, state: DataF
     if segment is None and state is None:
         start = {f"_carry_{c}": F.lit(0).cast("bigint") for c in COUNTERS} | {"_carry_model": F.lit(None).cast("string"), "_spawned": F.lit(None).cast("boolean"), "_past": F.lit(False), "_fork": F.lit(None).cast("timestamp")}
         return _finished(_local(records, "session_id").withColumns(start), "session_id")
-    rows, parts = _segments(records, segment, state)
+    return _handed(*_segments(records, segment, state))
+
+
+def _handed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     handed = parts.where("stage = 1").select("session_id", "segment", *[f"_carry_{c}" for c in COUNTERS], "_carry_model", "_spawned", "_past", "_fork")
     return _finished(rows.join(handed, ["session_id", "segment"]), "session_id", "segment")
 
@@ -98,3 +103,10 @@ def _segments(records: DataFrame, segment: Column | None, state: DataFrame | Non
 def carried_states(records: DataFrame, segment: Column | None = None, state: DataFrame | None = None) -> DataFrame:
     """carry.STATE of each session of records or state, after these records."""
     return carry.last_states(_segments(records, segment, state)[1])
+
+
+def events_and_states(records: DataFrame, kept: Callable[[DataFrame], DataFrame], segment: Column | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """usage_events and carried_states of the same records, by way of one table of summaries, which kept() may store."""
+    rows, parts = _segments(records, segment, state)
+    parts = kept(parts)
+    return _handed(rows, parts), carry.last_states(parts)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from meterloom.functions import parse
 from meterloom.functions.formats import month_of
 from meterloom.operators import carry, inventory, lineage, reports
-from meterloom.operators.events import carried_states, usage_events
+from meterloom.operators.events import events_and_states
 from meterloom.schemas import COUNTERS, ReportOptions
 from meterloom.session import checkpointed
 
@@ -187,7 +187,8 @@ def refresh(spark: SparkSession, lines: DataFrame, files: DataFrame, store: str,
     """
     seen = generations(spark, store, tz)
     base = max((g for g, *_ in seen), default=0)
-    listed = checkpointed(_latest(manifest_rows(spark, store, tz, seen)))
+    listed = _latest(manifest_rows(spark, store, tz, seen))
+    listed = checkpointed(listed) if seen else listed  # of a new store the optimiser knows that it is empty
     sums_before, states_before = stored_sums(spark, store, tz, listed), stored_states(spark, store, tz, listed)
     broken = inconsistent(sums_before, listed).withColumn("broken", F.lit(True))
     known = listed.join(broken, "session_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("broken").isNull())
@@ -203,13 +204,13 @@ def refresh(spark: SparkSession, lines: DataFrame, files: DataFrame, store: str,
         rows = rows.unionByName(parse.line_records(parts.range_lines(ranges), headers=True))
         state = states_before.join(grown, "session_id", "left_semi")
     rows = checkpointed(rows)  # parsed once
-    sums = day_sums(usage_events(rows, state=state).where("ts IS NOT NULL"), tz)
+    events, states = events_and_states(rows, checkpointed, state=state)
+    sums = day_sums(events.where("ts IS NOT NULL"), tz)
     heads = rows.where("thread_id IS NOT NULL OR parent_thread_id IS NOT NULL").select("session_id", "thread_id", "parent_thread_id")
     if state is not None:
         sums = reports.regroup(sums.unionByName(sums_before.join(grown, "session_id", "left_semi")), "session_id", "local_day")
         heads = heads.unionByName(state.select("session_id", "thread_id", "parent_thread_id"))
     # a grown session without new records keeps its state
-    states = carried_states(rows, state=state)
     parsed = plan.where(F.col("action").isin("append", "rebuild")).select("session_id").join(states, "session_id", "left").join(heads.groupBy("session_id").agg(F.max("thread_id").alias("thread_id"), F.max("parent_thread_id").alias("parent_thread_id")), "session_id", "left")
     sums_path = f"{_zone(store, 'sums', tz)}/run={run}"
     sums.write.parquet(sums_path)
