@@ -11,8 +11,11 @@ import xxhash
 
 from meterloom.llm.queries import QUERIES
 from meterloom.llm.secrets import base_spans
+from tests.llm.test_ranked import brute as ranked
+from tests.llm.test_suffixes import brute as repeated
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+ITEMS = [(0, "grunk ther on"), (1, "Blarf, GRUNK; long"), (2, None), (3, "nowhere to be found"), (4, "a b a b er")]
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +43,7 @@ def tables(spark, rows, tmp_path_factory):
     docs = [(*r, 1, "x", 2.0, [1]) for r in rows]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, id string, score double, spans array<int>").write.parquet(str(folder / "documents.parquet"))
     spark.createDataFrame([(r[0], 1, int(r[0] < 120 and r[0] % 9 == 4)) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, doc_id int").write.parquet(str(folder / "benchmark.parquet"))
     return str(folder)
 
 
@@ -49,6 +53,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(folder / "embeddings.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
     return str(folder)
 
 
@@ -199,3 +204,16 @@ def test_op10(spark, tables, rows):
                 group[high] = low
     for r in got:
         assert int(r.fingerprint, 16) == prints[r.doc_id] and len(r.fingerprint) == 16 and r.component_id == find(r.doc_id)
+
+
+def test_op11(spark, tables, rows):
+    got = result(spark, tables, rows, "op11_suffixes")
+    texts = [(r[1] or "").encode() for r in rows]
+    want = [(r[0], n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for r, (n, spans, kept) in zip(rows, repeated(texts, 200), strict=True)]
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(want)
+    assert any(r.n_removed for r in got)
+
+
+def test_op13(spark, tables, rows):
+    got = sorted(map(tuple, QUERIES["op13_ranked"](spark, tables).collect()))
+    assert got == ranked([(r[0], r[1]) for r in rows], ITEMS, 10) and len(got) > 20
