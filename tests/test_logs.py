@@ -161,6 +161,17 @@ def test_months_models_json_and_lookup(spark, tmp_path):
     assert [r.path for r in session_file(spark, options, "p/s").collect()] == [str(a / "p/s.jsonl")] and session_file(spark, options, "p/none").count() == 0
 
 
+def test_other_agents_and_later_boundaries(spark, tmp_path):
+    write(tmp_path / "legacy.jsonl", {"type": "session_meta", "payload": {"id": "legacy", "source": {"subagent": "review"}}}, context("gpt-5"), tokens("2026-01-02T00:01:00Z", usage(10, 0, 1, 0, 11)))
+    boundary, at = {"type": "inter_agent_communication_metadata"}, "2026-01-02T00:0{}:00Z".format
+    write(
+        tmp_path / "spawned.jsonl", meta("s", "parent"), context("gpt-5"), tokens(at(2), total=usage(100, 0, 10, 0, 110)), boundary, tokens(at(3), total=usage(110, 0, 11, 0, 121)), boundary,
+        tokens(at(4), total=usage(120, 0, 12, 0, 132)),
+    )
+    events = events_of(spark, ReportOptions(roots=(str(tmp_path),)))[0].orderBy("session_id", "seq").collect()
+    assert [(e.session_id, e.total) for e in events] == [("legacy", 11), ("spawned", 11), ("spawned", 11)]
+
+
 def test_files_are_pruned_by_time_and_links_followed_once(spark, tmp_path):
     import os
 
