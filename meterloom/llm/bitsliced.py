@@ -66,7 +66,7 @@ def packed(bits: np.ndarray) -> np.ndarray:
     """Rows of 0 and 1 as rows of 64-bit words, the first row of the block in the lowest bit."""
     pad = -bits.shape[-1] % 64
     wide = np.concatenate([bits, np.zeros((*bits.shape[:-1], pad), np.uint8)], -1) if pad else bits
-    return np.packbits(wide, axis=-1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(wide, axis=-1, bitorder="little")).view(np.uint64)
 
 
 def unpacked(words: np.ndarray, n: int) -> np.ndarray:

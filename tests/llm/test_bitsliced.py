@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meterloom.llm import bitsliced
@@ -31,5 +33,22 @@ def test_equals_brute_force(spark, monkeypatch):
     assert got == brute(exact, 5)
 
 
+def test_blocks_without_padding(spark, monkeypatch):
+    monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 64)
+    rng = random.Random(11)
+    # 64 and 128 rows fill whole words of the bitmaps, in one part or in two blocks of it
+    for n, scale in ((64, 1), (64, 1 << 60), (128, 1)):
+        rows = [(i, [float(scale * rng.randint(-9, 9)) for _ in range(6)]) for i in range(n)]
+        batch = pa.RecordBatch.from_pydict({"part": [0] * n, "id": [i for i, _ in rows], "q": [v for _, v in rows]})
+        blocks = [bitsliced.Block.of(b.to_pylist()[0]) for b in bitsliced.build(iter([batch]))]
+        assert [b.n for b in blocks] == [64] * (n // 64)
+        for qi, q in rows[:5]:
+            found = sorted((-s, i) for b in blocks for i, s in zip(*b.best(qi, bitsliced.integers(np.array(q)), 5), strict=True))[:5]
+            assert found == sorted((-sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), i) for i, v in rows if i != qi)[:5]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(64)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=5).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5)
+
+
 def test_empty(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect() == []
