@@ -59,6 +59,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def in_small_batches(stage):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release_memory()  # of the stages before
         common.small_batches(spark, BATCH_ROWS)
         return stage(spark, docs, sf_dir)
 

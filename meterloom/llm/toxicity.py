@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import portions, stored, text_bytes
+from meterloom.llm.common import portions, release_memory, stored, text_bytes
 
 MAX_EXAMPLES, BLOCK = 6000, 64
 #: Blocks of highest bounds that are scored before the others.
@@ -256,7 +256,7 @@ def fit_toxicity(
     vocabulary = {w.encode("latin-1"): i for i, w in enumerate(seen.column("word").to_pylist())}
     a, n = (seen.column(c).to_numpy().astype(float) for c in ("a", "n"))
     del seen
-    pa.default_memory_pool().release_unused()
+    release_memory()
     contrast = np.abs(np.log((a + 1) / (toxic[1] + 2)) - np.log((n - a + 1) / (clean[1] + 2)))
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
@@ -309,7 +309,7 @@ def _index(examples: DataFrame, model: ToxicityModel, words) -> ToxicityModel:
     del rows
     model.index = BlockMaxIndex.build(owner, terms, weights, label, votes, ids, len(model.vocabulary))
     del owner, terms, weights
-    pa.default_memory_pool().release_unused()
+    release_memory()
     # the vectors are stored, so no task asks for their broadcast again
     core.destroy()
     model.shared = (words, sc.broadcast((model.weights, vars(model.index))))
