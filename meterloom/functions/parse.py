@@ -112,9 +112,12 @@ def records(lines: DataFrame, strict: bool = False, strict_markers: bool = True,
     headers adds thread_id and parent_thread_id, which the first line of a session may have.
     """
     lines = lines.select("session_id", "seq", trimmed(F.col("value")).alias("value")).where("value <> ''")
+    # only a header is asked whether it is first, so other lines don't move; an escape can hide the type of one
+    maybe_header = F.col("value").contains(META) | F.col("value").contains("\\")
     heads = lines.groupBy("session_id").agg(F.min("seq").alias("first"))
-    rows = _kept(lines, strict, strict_markers).join(heads, "session_id").withColumn("head", F.col("seq") == F.col("first"))
-    return _records(rows, strict, headers)
+    asked = _kept(lines.where(maybe_header), strict, strict_markers).join(heads, "session_id").withColumn("head", F.col("seq") == F.col("first")).drop("first")
+    others = _kept(lines.where(~maybe_header), strict, strict_markers).withColumn("head", F.lit(False))
+    return _records(others.unionByName(asked), strict, headers)
 
 
 def line_records(lines: DataFrame, strict: bool = False, strict_markers: bool = True, keep: tuple[str, ...] = (), always: Column | None = None, headers: bool = False) -> DataFrame:

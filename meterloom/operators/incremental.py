@@ -22,7 +22,7 @@ from meterloom.functions.formats import month_of
 from meterloom.operators import carry, inventory, lineage, reports
 from meterloom.operators.events import events_and_states
 from meterloom.schemas import COUNTERS, ReportOptions
-from meterloom.session import checkpointed
+from meterloom.session import checkpointed, kept_table
 
 PARSER_VERSION = 2
 MANIFEST = (
@@ -203,7 +203,7 @@ def refresh(spark: SparkSession, lines: DataFrame, files: DataFrame, store: str,
         ranges = plan.where("action = 'append'").select("session_id", "path", "start", "end")
         rows = rows.unionByName(parse.line_records(parts.range_lines(ranges), headers=True))
         state = states_before.join(grown, "session_id", "left_semi")
-    rows = checkpointed(rows)  # parsed once
+    rows = kept_table(rows)  # parsed once
     events, states = events_and_states(rows, checkpointed, state=state)
     sums = day_sums(events.where("ts IS NOT NULL"), tz)
     heads = rows.where("thread_id IS NOT NULL OR parent_thread_id IS NOT NULL").select("session_id", "thread_id", "parent_thread_id")

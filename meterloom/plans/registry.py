@@ -550,10 +550,10 @@ def stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily report over a store of sums: log lines of all sessions up to a day are parsed into it, then it is refreshed
     with what the files gained since, which continues from the stored states."""
     from meterloom.operators import incremental
-    from meterloom.session import checkpointed, shared_dir
+    from meterloom.session import kept_table, shared_dir
 
     # lines stand for files on disk, so they are made once
-    store, lines = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", checkpointed(b.lines(spark, sf_dir))
+    store, lines = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", kept_table(b.lines(spark, sf_dir))
     for known in (lines.where("ts < '2024-01-15'"), lines):
         incremental.refresh(spark, known, b.files_of(known), store, parts=b.LineParts(known))
     return flat(incremental.stored_report(spark, "daily", store, b.pricing(spark)), "date")

@@ -204,3 +204,28 @@ def test_options():
     with pytest.raises(Exception):
         ReportOptions(timezone="Nowhere/City")
     assert ReportOptions(exclude_cached=True).cached_is_free
+
+
+def test_only_headers_are_asked_whether_they_are_first(spark):
+    from pyspark.sql import functions as F
+
+    from meterloom.functions import parse
+
+    escaped = '{"timestamp":"2024-01-01T00:00:00Z","type":"session\\u005fmeta","payload":{"id":"t0","source":{"subagent":{"thread_spawn":{"parent_thread_id":"p"}}}}}'
+    late = escaped.replace("\\u005f", "_").replace("t0", "t1")
+    pad = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.sha2(F.concat("id", i).cast("binary"), 256)))
+    usage = F.concat(F.lit('{"timestamp":"2024-01-01T00:00:01Z","type":"event_msg","payload":{"type":"token_count","model":"'), pad, F.lit('","last_token_usage":{"input_tokens":3}}}'))
+    lines = spark.range(2, 1002).select((F.col("id") % 5).cast("string").alias("session_id"), F.col("id").alias("seq"), usage.alias("value"))
+    lines = lines.unionByName(spark.createDataFrame([("0", 1, escaped), ("0", 2000, late), ("1", 2001, late)], "session_id string, seq long, value string"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        rows = parse.records(lines, headers=True).collect()
+        assert written() - before < 200_000  # of 1.9 MB of lines
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) == 1003 and sum(r.last is not None for r in rows) == 1000
+    assert [(r.session_id, r.seq, r.thread_id) for r in rows if r.is_spawned] == [("0", 1, "t0")]
+    assert [r.seq for r in rows if r.thread_id] == [1]
