@@ -264,3 +264,35 @@ def test_small_samples_stay_within_their_bound(spark):
     candidates = spark.createDataFrame([(i, i % 2, 2.0) for i in range(500)], "id long, label int, weight double")
     kept = toxicity.draw(candidates, 40).collect()
     assert Counter(r.label for r in kept) == {0: 40, 1: 40} and all(abs(r.weight - 500 / 40) < 1e-9 for r in kept)
+
+
+def test_classes_come_from_all_training_texts(spark):
+    from meterloom.llm.mixing_lm import FEATURES, class_counts, find_classes, nearest
+
+    # 6000 training texts and 600 others; one kind of texts is a fiftieth of them
+    rng = np.random.default_rng(19)
+    kind = np.where(rng.random(6600) < 0.02, 2, rng.integers(0, 2, 6600))
+    learn = (np.arange(6600) % 11 > 0).astype(np.uint8)
+    traits = [np.unique(np.concatenate([rng.integers(0, 30, 6), 1000 + 100 * k + rng.integers(0, 20, 12)])).astype(np.uint16) for k in kind.tolist()]
+    tokens = [rng.integers(0, 40, 5).astype(np.uint32) for _ in traits]
+    tokens[0][:] = 1 << 31
+
+    def table(step):
+        rows = []
+        for at in range(0, len(traits), step):
+            own = range(at, min(at + step, len(traits)))
+            blobs = [np.concatenate([x[i] for i in own]) for x in (tokens, traits)]
+            sizes = [np.array([len(x[i]) for i in own], t) for x, t in ((tokens, np.int32), (traits, np.uint16))]
+            rows.append((len(own), *map(bytearray, map(squeezed, (learn[own.start : own.stop], blobs[1], sizes[1], sizes[0], blobs[0])))))
+        return spark.createDataFrame(rows, "n int, learn binary, kinds binary, kind_sizes binary, sizes binary, blob binary").repartition(3)
+
+    classes = find_classes(table(500))
+    assert classes.shape[0] == FEATURES and (classes == find_classes(table(77))).all()
+    starts = np.cumsum([0, *map(len, traits[:-1])])
+    own = nearest(classes, starts, np.concatenate(traits).astype(np.int64))
+    # no class mixes kinds
+    assert all(len(set(kind[own == k].tolist())) <= 1 for k in range(classes.shape[1])) and len(set(own[kind == 2].tolist())) >= 1
+    want = np.zeros((classes.shape[1], 41), np.int64)
+    for i in np.flatnonzero(learn):
+        np.add.at(want[own[i]], np.minimum(tokens[i], 40), 1)
+    assert want.sum() == 5 * learn.sum() and (class_counts(table(500), classes, 41) == want).all()
