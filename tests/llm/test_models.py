@@ -296,3 +296,18 @@ def test_classes_come_from_all_training_texts(spark):
     for i in np.flatnonzero(learn):
         np.add.at(want[own[i]], np.minimum(tokens[i], 40), 1)
     assert want.sum() == 5 * learn.sum() and (class_counts(table(500), classes, 41) == want).all()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(b) for b in disk.getAllBlocks().mkString(" ").split() if str(b).startswith("shuffle_")}
+    before = shuffles()
+    table = common.stored(spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert table.count() == 7
+    until = time.time() + 20
+    # the count above keeps its own shuffle, of one row a file
+    while len(left := {b.split("_")[1] for b in shuffles() - before}) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1
