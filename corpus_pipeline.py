@@ -17,7 +17,7 @@ from meterloom.llm.mixture import Mixture
 from meterloom.llm.nearcopies import one_near_copy
 from meterloom.llm.packing import pack
 from meterloom.llm.secrets import redact
-from meterloom.llm.toxicity import fit_toxicity, toxicity
+from meterloom.llm.toxicity import fit_toxicity, toxicity_score
 
 WINDOW, END_ID, TOXIC, SIMILAR = 2048, 1, 0.5, 0.8
 #: Words whose ids a worker keeps in the last stage, and rows of an Arrow batch; workers may still hold what other stages
@@ -29,8 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC, after the labels of four fifths of them. Repeated rows share their fate; null and
     empty texts go only if most labelled documents without words are toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(common.id_remainder("doc_id", 5) != 0)
-    score = toxicity(F.col("text"), fit_toxicity(docs, labels), spark)["score"]
-    return docs.where(score < TOXIC)
+    return docs.where(toxicity_score(F.col("text"), fit_toxicity(docs, labels), spark) < TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

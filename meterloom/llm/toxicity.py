@@ -19,7 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import portions, release_memory, stored, text_bytes
+from meterloom.llm.common import portions, release_memory, release_pages, stored, text_bytes
 
 MAX_EXAMPLES, BLOCK = 6000, 64
 #: Blocks of highest bounds that are scored before the others.
@@ -137,11 +137,30 @@ class BlockMaxIndex:
         return out
 
 
+class Vocabulary:
+    """Places of terms. It is kept and sent as its terms in order with a space between (terms have none); the dictionary is
+    built where terms are looked up, so the driver holds none."""
+
+    def __init__(self, joined: bytes = b""):
+        self.joined = joined
+        self.size = joined.count(b" ") + 1 if joined else 0
+
+    def __reduce__(self):
+        return Vocabulary, (self.joined,)
+
+    def __len__(self) -> int:
+        return self.size
+
+    @cached_property
+    def get(self):
+        return {term: i for i, term in enumerate(self.joined.split(b" "))}.get if self.size else {}.get
+
+
 @dataclass
 class ToxicityModel:
     """vocabulary and (weights, index) are large and travel as broadcasts, once each; see packed()."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: Vocabulary
     weights: np.ndarray
     index: BlockMaxIndex | None
     base: float
@@ -251,13 +270,14 @@ def fit_toxicity(
     toxic, clean = shares.get(1, (0.0, 0)), shares.get(0, (0.0, 0))
     base = toxic[0] / max(toxic[0] + clean[0], 1e-9)
     if not toxic[1] or not clean[1]:
-        return ToxicityModel({}, np.zeros(0), None, base, base, np.full(BINS, base))
+        return ToxicityModel(Vocabulary(), np.zeros(0), None, base, base, np.full(BINS, base))
     seen = examples.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).orderBy("word").toArrow()
-    vocabulary = {w.encode("latin-1"): i for i, w in enumerate(seen.column("word").to_pylist())}
+    vocabulary = Vocabulary(b" ".join(" ".join(c.to_pylist()).encode("latin-1") for c in seen.column("word").chunks if len(c)))
     a, n = (seen.column(c).to_numpy().astype(float) for c in ("a", "n"))
     del seen
-    release_memory()
     contrast = np.abs(np.log((a + 1) / (toxic[1] + 2)) - np.log((n - a + 1) / (clean[1] + 2)))
+    del a, n
+    release_memory()
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
 
@@ -276,6 +296,8 @@ def fit_toxicity(
     df = np.zeros(len(vocabulary) + 1)
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     weights = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (contrast + LEAST_CONTRAST)
+    del counted, df, contrast
+    release_memory()
     return _index(examples, ToxicityModel(vocabulary, weights, None, base, base, np.full(BINS, base)), words)
 
 
@@ -338,10 +360,33 @@ def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
     """score (0 to 1) and evidence, the nearest examples (id, label, cosine; of equal ones those first in the index), of a
     text. Null, empty and unknown texts share the score of examples without words and have no evidence; long texts are
     taken whole."""
-    given = model.packed(spark)
+    found = _scored(model, spark, lambda score, near: (score, [{"id": i, "label": y, "cosine": c} for i, y, c in near]))
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for rows in found(texts):
+            yield pd.DataFrame(rows, columns=["score", "evidence"])
+
+    return scored(text.cast("string"))
+
+
+def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
+    """The score of toxicity() alone: no evidence is kept or sent."""
+    found = _scored(model, spark, lambda score, near: score)
+
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in found(texts):
+            yield pd.Series(rows, dtype="float64")
+
+    return scored(text.cast("string"))
+
+
+def _scored(model: ToxicityModel, spark, shape):
+    """For batches of texts, shape(score, neighbours) of each; recent texts are looked up."""
+    given = model.packed(spark)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[list]:
         model, kept = given(), {}
         for part in texts:
             if len(kept) > MEMO_TEXTS:
@@ -352,7 +397,9 @@ def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
             for at in range(0, len(names), TOGETHER):
                 some = names[at : at + TOGETHER]
                 found = model.scores([Counter(terms_of(new[key].encode() if new[key] else b"")) for key in some])
-                kept.update({key: (score, [{"id": i, "label": y, "cosine": c} for i, y, c in near]) for key, (score, near) in zip(some, found, strict=True)})
-            yield pd.DataFrame([kept[key] for key in keys], columns=["score", "evidence"])
+                kept.update({key: shape(score, near) for key, (score, near) in zip(some, found, strict=True)})
+            yield [kept[key] for key in keys]
+        kept.clear()
+        release_pages()
 
-    return scored(text.cast("string"))
+    return run

@@ -141,6 +141,24 @@ def test_toxicity(spark):
     assert df.limit(2).select(scored(F.col("text"), none, spark).alias("s")).first().s.score == 0
 
 
+def test_score_alone_and_a_vocabulary_that_the_driver_keeps_packed(spark):
+    import pickle
+
+    from meterloom.llm.toxicity import Vocabulary, toxicity_score
+
+    rng = random.Random(21)
+    rows = [(i, None if i == 7 else words(rng, "en", 30) + (" grunk blarf é\u00a0x" if i % 4 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit_toxicity(df, df.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("toxic")))
+    assert "get" not in vars(model.vocabulary)
+    got = df.select(scored(F.col("text"), model, spark)["score"].alias("a"), toxicity_score(F.col("text"), model, spark).alias("b")).collect()
+    assert len(got) == 200 and all(r.a == r.b for r in got)
+    places = pickle.loads(pickle.dumps(model.vocabulary))
+    terms = sorted({t for _, x in rows for t in toxicity.terms_of((x or "").encode())})
+    assert len(places) == len(terms) == len(model.weights) and sorted(places.get(t, -1) for t in terms) == list(range(len(terms)))
+    assert len(Vocabulary()) == 0 and Vocabulary().get(b"", -1) == -1
+
+
 def test_windows():
     keys, starts = windows([b"ab", b"", b"xyz"])
     assert starts.tolist() == [0, 3, 4] and len(keys) == 8
